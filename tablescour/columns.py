@@ -13,9 +13,13 @@ from tablescour.errors import CleanError
 ROW = "_row"
 
 
+def quoted(name: str) -> str:
+    """The column name as SQL text, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
-    """Reference a column by its literal name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def data_columns(df: DataFrame) -> list[str]:

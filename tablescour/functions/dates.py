@@ -11,11 +11,11 @@ from __future__ import annotations
 import datetime
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tablescour.columns import ref
-from tablescour.functions import patterns, text
+from tablescour.columns import quoted
+from tablescour.functions import patterns
+from tablescour.functions.patterns import sql_raw
 
 # Month words a field may hold; the place in each row of twelve counts.
 _MONTH_WORDS = ",".join(
@@ -53,6 +53,156 @@ _FIELDS = r"^(?:\d{1,4}|[a-z]{3,9})(?:(?:[-/]|[. ]+)(?:\d{1,4}|[a-z]{3,9})){0,2}
 _DECIMAL_LOOKS = r"^\d{1,2}\.\d{4}$|^(?!1[7-9]\d\d|2[01]\d\d)\d{4}\.\d{1,2}$"
 
 
+# Each stage maps its output columns to SQL over the columns of the stage before; {v} is
+# the source column. Regular expressions are filled in as raw SQL literals.
+_CLEANED = {
+    "text": f"""
+        CASE WHEN {{v}} RLIKE {sql_raw(_ISO_DAY)} THEN {{v}}
+             WHEN {{v}} RLIKE {sql_raw(r'[0-9]')} AND length({{v}}) >= 4
+             THEN lower(btrim(regexp_replace({{v}}, {sql_raw(_BLANKS)}, ' '))) END"""
+}
+
+# Drop filler and set missing blanks; the look-behinds run only where they can hit.
+_SPACED = {
+    "text": f"""
+        CASE WHEN __date_text RLIKE '[a-z]' THEN
+               CASE WHEN __date_text RLIKE {sql_raw(r"[0-9]t[0-9]|^[0-9]{1,2}[a-z]")}
+                    THEN regexp_replace(regexp_replace(__date_timed, {sql_raw(_FILLER)}, ''),
+                                        {sql_raw(_SEAMS)}, ' ')
+                    ELSE regexp_replace(__date_timed, {sql_raw(_FILLER)}, '') END
+             ELSE __date_timed END"""
+}
+_TIMED = {
+    "text": "__date_text",
+    "timed": f"""
+        CASE WHEN NOT contains(__date_text, ':')
+                  AND __date_text RLIKE {sql_raw(r"[t ][0-9]{1,2}(?: ?[ap]m)?$")}
+             THEN regexp_replace(__date_text, {sql_raw(_LONE_HOUR)}, '$0:00')
+             ELSE __date_text END""",
+}
+
+_CLOCK_CUT = {
+    "day": f"""
+        CASE WHEN contains(__date_text, ':')
+             THEN trim(regexp_replace(__date_text, {sql_raw(_CLOCK)}, '')) ELSE __date_text END""",
+    "clock": f"""
+        CASE WHEN contains(__date_text, ':')
+             THEN regexp_extract(__date_text, {sql_raw(_CLOCK)}, 0) END""",
+}
+
+_FIELD_LIST = {
+    "fields": f"""
+        CASE WHEN __date_day RLIKE {sql_raw(_RUN_TOGETHER)} THEN
+               CASE WHEN length(__date_day) = 6
+                    THEN array(left(__date_day, 2), substr(__date_day, 3, 2), right(__date_day, 2))
+                    ELSE array(left(__date_day, 4), substr(__date_day, 5, 2),
+                               substr(__date_day, 7, 2)) END
+             WHEN __date_day RLIKE {sql_raw(_FIELDS)}
+                  AND NOT __date_day RLIKE {sql_raw(_DECIMAL_LOOKS)}
+             THEN split(__date_day, {sql_raw(r"[-/]|[. ]+")}) END""",
+    "clock": f"""
+        CASE WHEN __date_day RLIKE {sql_raw(r"^(?:[0-9]{12}|[0-9]{14})$")}
+             THEN concat_ws(':', substr(__date_day, 9, 2), substr(__date_day, 11, 2),
+                            nullif(substr(__date_day, 13, 2), ''))
+             ELSE __date_clock END""",
+}
+
+
+def _field(k: int) -> str:
+    return f"get(__date_fields, {k})"
+
+
+# Month words become their number; the shape has one letter per field: a month word,
+# 4 digits, 1-2 digits, or x.
+_WORDS = {
+    **{f"f{k}": _field(k) for k in range(3)},
+    **{
+        f"w{k}": f"CASE WHEN {_field(k)} < ':' THEN 0 "
+        f"ELSE find_in_set({_field(k)}, '{_MONTH_WORDS}') END"
+        for k in range(3)
+    },
+    "clock": f"""
+        CASE WHEN __date_clock IS NOT NULL THEN array(
+            {", ".join(f"regexp_extract(__date_clock, {sql_raw(_CLOCK)}, {k})" for k in range(1, 6))}
+        ) END""",
+}
+_SHAPED = {
+    "shape": "concat_ws('', "
+    + ", ".join(
+        f"CASE WHEN __date_w{k} > 0 THEN 'm' WHEN length(__date_f{k}) = 4 THEN '4' "
+        f"WHEN length(__date_f{k}) <= 2 THEN '2' WHEN __date_f{k} IS NOT NULL THEN 'x' END"
+        for k in range(3)
+    )
+    + ")",
+    **{
+        f"n{k}": f"CASE WHEN __date_w{k} > 0 THEN (__date_w{k} - 1) % 12 + 1 "
+        f"ELSE try_cast(__date_f{k} AS INT) END"
+        for k in range(3)
+    },
+    "clock": "__date_clock",
+}
+
+
+def _roles(day_first: bool) -> dict[str, str]:
+    """Which field is year (y), month (m) and day (d), by shape and size."""
+    if day_first:
+        iso = "CASE WHEN __date_n1 > 12 AND __date_n2 <= 12 THEN 'ydm' ELSE 'ymd' END"
+        year_led = "CASE WHEN __date_n2 <= 12 THEN 'ydm' ELSE 'ymd' END"
+        day_led = "__date_n0 > 12 OR __date_n1 <= 12"
+    else:
+        iso = year_led = "'ymd'"
+        day_led = "__date_n0 > 12"
+    return {
+        "roles": f"""CASE
+            WHEN __date_shape = '4' AND __date_clock IS NULL AND __date_n0 >= 1000 THEN 'y'
+            WHEN __date_shape = '422' THEN {iso}
+            WHEN __date_shape = '222' AND __date_n0 > 31 THEN {year_led}
+            WHEN __date_shape IN ('224', '222') THEN CASE WHEN {day_led} THEN 'dmy' ELSE 'mdy' END
+            WHEN __date_shape IN ('4m', '42') THEN 'ym'
+            WHEN __date_shape IN ('m4', '24') THEN 'my'
+            WHEN __date_shape = 'm42' OR (__date_shape = 'm22' AND __date_n1 > 31) THEN 'myd'
+            WHEN __date_shape IN ('m24', 'm22') THEN 'mdy'
+            WHEN __date_shape = '4m2' OR (__date_shape = '2m2' AND __date_n0 > 31) THEN 'ymd'
+            WHEN __date_shape IN ('2m4', '2m2') THEN 'dmy'
+            WHEN __date_shape = '24m' OR (__date_shape = '22m' AND __date_n1 > 31) THEN 'dym'
+            WHEN __date_shape IN ('42m', '22m') THEN 'ydm' END""",
+        "numbers": "array(__date_n0, __date_n1, __date_n2)",
+        "short": "NOT contains(__date_shape, '4')",
+        "clock": "__date_clock",
+    }
+
+
+def _parts(year_now: int) -> dict[str, str]:
+    def role(letter: str) -> str:
+        return f"get(__date_numbers, locate('{letter}', __date_roles) - 1)"
+
+    pivot, century = year_now % 100 + 50, year_now - year_now % 100
+    return {
+        "year": f"""{role("y")} + CASE WHEN NOT __date_short THEN 0
+            WHEN {role("y")} >= {pivot} THEN {century - 100}
+            WHEN {role("y")} < {pivot - 100} THEN {century + 100} ELSE {century} END""",
+        "month": f"coalesce({role('m')}, 1)",
+        "day": f"coalesce({role('d')}, 1)",
+        "hour": """CASE WHEN __date_clock IS NULL THEN 0
+            WHEN __date_clock[4] = '' THEN try_cast(__date_clock[0] AS INT)
+            WHEN try_cast(__date_clock[0] AS INT) BETWEEN 1 AND 12
+            THEN try_cast(__date_clock[0] AS INT) % 12
+                 + CASE WHEN __date_clock[4] = 'pm' THEN 12 ELSE 0 END END""",
+        "minute": """CASE WHEN __date_clock IS NULL THEN 0
+            ELSE try_cast(__date_clock[1] AS INT) END""",
+        "second": """CASE WHEN __date_clock IS NULL THEN 0BD ELSE try_cast(concat(
+            '0', __date_clock[2], '.', rpad(left(__date_clock[3], 6), 6, '0')
+            ) AS DECIMAL(16, 6)) END""",
+    }
+
+
+_STAMP = """
+    CASE WHEN __date_year BETWEEN 1 AND 9999 AND __date_hour BETWEEN 0 AND 23
+              AND __date_minute BETWEEN 0 AND 59 AND __date_second < 60
+         THEN try_make_timestamp_ntz(__date_year, __date_month, __date_day, __date_hour,
+                                     __date_minute, CAST(__date_second AS DECIMAL(16, 6))) END"""
+
+
 def with_parsed_dates(
     df: DataFrame,
     columns: Mapping[str, str],
@@ -65,141 +215,17 @@ def with_parsed_dates(
     defaults to the current year.
     """
     year_now = reference_year or datetime.date.today().year
+    stages = [_CLEANED, _TIMED, _SPACED, _CLOCK_CUT, _FIELD_LIST, _WORDS, _SHAPED]
+    stages += [_roles(day_first), _parts(year_now)]
     out = df
     for target, source in columns.items():
-        keep = [ref(c) for c in out.columns]
-        stages = out
-        for stage in (_cleaned, _spaced, _cut_clock, _as_array, _shaped, _with_roles):
-            made = stage(ref(source), day_first)
-            stages = stages.select(*keep, *[c.alias(_PREFIX + n) for n, c in made.items()])
-        out = stages.select(*keep, _stamp(year_now).alias(target))
+        keep = [quoted(c) for c in out.columns]
+        step = out
+        for stage in stages:
+            made = [
+                f"{sql.replace('{v}', quoted(source))} AS __date_{name}"
+                for name, sql in stage.items()
+            ]
+            step = step.selectExpr(*keep, *made)
+        out = step.selectExpr(*keep, f"{_STAMP} AS {quoted(target)}")
     return out
-
-
-_PREFIX = "__date_"
-
-
-def _part(name: str) -> Column:
-    return F.col(_PREFIX + name)
-
-
-def _cleaned(value: Column, day_first: bool) -> dict[str, Column]:
-    plain = F.lower(text.trim(F.regexp_replace(value, _BLANKS, " ")))
-    worth = value.rlike(r"\d") & (F.length(value) >= 4)
-    return {"text": F.when(value.rlike(_ISO_DAY), value).when(worth, plain)}
-
-
-def _spaced(value: Column, day_first: bool) -> dict[str, Column]:
-    whole = F.regexp_replace(_part("text"), _LONE_HOUR, "$0:00")
-    lettered = F.regexp_replace(F.regexp_replace(whole, _FILLER, ""), _SEAMS, " ")
-    return {"text": F.when(_part("text").rlike("[a-z]"), lettered).otherwise(whole)}
-
-
-def _cut_clock(value: Column, day_first: bool) -> dict[str, Column]:
-    whole = _part("text")
-    timed = whole.contains(":")
-    day = F.trim(F.regexp_replace(whole, _CLOCK, ""))
-    return {
-        "day": F.when(timed, day).otherwise(whole),
-        "clock": F.when(timed, F.regexp_extract(whole, _CLOCK, 0)),
-    }
-
-
-def _as_array(value: Column, day_first: bool) -> dict[str, Column]:
-    day, clock = _part("day"), _part("clock")
-    solid = day.rlike(_RUN_TOGETHER)
-
-    def cut(*spans):
-        return F.array(*[F.substring(day, start, size) for start, size in spans])
-
-    short = cut((1, 2), (3, 2), (5, 2))
-    full = cut((1, 4), (5, 2), (7, 2))
-    spaced = F.when(day.rlike(_FIELDS) & ~day.rlike(_DECIMAL_LOOKS), F.split(day, r"[-/]|[. ]+"))
-    stamped = F.concat_ws(":", *[F.nullif(F.substring(day, k, 2), F.lit("")) for k in (9, 11, 13)])
-    return {
-        "fields": F.when(solid, F.when(F.length(day) == 6, short).otherwise(full)).otherwise(spaced),
-        "clock": F.when(solid & (F.length(day) >= 12), stamped).otherwise(clock),
-    }
-
-
-def _shaped(value: Column, day_first: bool) -> dict[str, Column]:
-    """Field numbers, and one letter per field: month word, 4 digits, 1-2 digits, else x."""
-    fields = [F.get(_part("fields"), F.lit(k)) for k in range(3)]
-    words = [F.find_in_set(f, F.lit(_MONTH_WORDS)) for f in fields]
-    size = [F.length(f) for f in fields]
-    shape = [
-        F.when(w > 0, "m").when(n == 4, "4").when(n <= 2, "2").when(n == 3, "x")
-        for w, n in zip(words, size)
-    ]
-    numbers = [F.when(w > 0, (w - 1) % 12 + 1).otherwise(f.try_cast("int")) for w, f in zip(words, fields)]
-    clock = _part("clock")
-    pieces = [F.regexp_extract(clock, _CLOCK, k) for k in (1, 2, 3, 4, 5)]
-    return {
-        "shape": F.concat_ws("", *shape),
-        "numbers": F.array(*numbers),
-        "clock": F.when(clock.isNotNull(), F.array(*pieces)),
-    }
-
-
-def _with_roles(value: Column, day_first: bool) -> dict[str, Column]:
-    """Which field is year (y), month (m) and day (d); the clock as numbers."""
-    shape, clock = _part("shape"), _part("clock")
-    n0, n1, n2 = (F.get(_part("numbers"), F.lit(k)) for k in range(3))
-    if day_first:
-        iso = F.when((n1 > 12) & (n2 <= 12), "ydm").otherwise("ymd")
-        year_led = F.when(n2 <= 12, "ydm").otherwise("ymd")
-        day_led = (n0 > 12) | (n1 <= 12)
-    else:
-        iso = year_led = F.lit("ymd")
-        day_led = n0 > 12
-    roles = (
-        F.when((shape == "4") & clock.isNull() & (n0 >= 1000), "y")
-        .when(shape == "422", iso)
-        .when((shape == "222") & (n0 > 31), year_led)
-        .when(shape.isin("224", "222"), F.when(day_led, "dmy").otherwise("mdy"))
-        .when(shape.isin("4m", "42"), "ym")
-        .when(shape.isin("m4", "24"), "my")
-        .when((shape == "m42") | ((shape == "m22") & (n1 > 31)), "myd")
-        .when(shape.isin("m24", "m22"), "mdy")
-        .when((shape == "4m2") | ((shape == "2m2") & (n0 > 31)), "ymd")
-        .when(shape.isin("2m4", "2m2"), "dmy")
-        .when((shape == "24m") | ((shape == "22m") & (n1 > 31)), "dym")
-        .when(shape.isin("42m", "22m"), "ydm")
-    )
-    return {
-        "roles": roles,
-        "numbers": _part("numbers"),
-        "short": ~shape.contains("4"),
-        "clock": clock,
-        "hour": F.get(clock, F.lit(0)).try_cast("int"),
-    }
-
-
-def _stamp(year_now: int) -> Column:
-    numbers, roles, clock = _part("numbers"), _part("roles"), _part("clock")
-
-    def role(letter: str) -> Column:
-        return F.get(numbers, F.locate(letter, roles) - 1)
-
-    pivot, century = year_now % 100 + 50, year_now - year_now % 100
-    year = role("y")
-    shift = F.when(year >= pivot, century - 100).when(year < pivot - 100, century + 100)
-    year = F.when(_part("short"), year + shift.otherwise(century)).otherwise(year)
-
-    hour, half = _part("hour"), F.get(clock, F.lit(4))
-    hour = (
-        F.when(clock.isNull(), 0)
-        .when(half == "", hour)
-        .when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    )
-    minute = F.when(clock.isNull(), 0).otherwise(F.get(clock, F.lit(1)).try_cast("int"))
-    fraction = F.rpad(F.substring(F.get(clock, F.lit(3)), 1, 6), 6, "0")
-    second = F.concat(F.lit("0"), F.get(clock, F.lit(2)), F.lit("."), fraction)
-    second = F.coalesce(second.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
-    possible = year.between(1, 9999) & hour.between(0, 23) & minute.between(0, 59) & (second < 60)
-    return F.when(
-        roles.isNotNull() & possible,
-        F.try_make_timestamp_ntz(
-            year, F.coalesce(role("m"), F.lit(1)), F.coalesce(role("d"), F.lit(1)), hour, minute, second
-        ),
-    )

@@ -48,3 +48,10 @@ def java(pattern: str) -> str:
 def java_full(pattern: str) -> str:
     """Like :func:`java`, but the whole value must match."""
     return java(rf"\A(?:{pattern})\Z")
+
+
+def sql_raw(pattern: str) -> str:
+    """The pattern as a raw SQL string literal."""
+    if "'" in pattern:
+        raise ValueError("raw literals hold no single quote")
+    return f"r'{pattern}'"

@@ -1,0 +1,7 @@
+from tablescour.operators import profile
+def test_x(spark, table):
+    df = table(name=["Ann","Bob","Ann","",""], mail=["a@x.com","b@x.com","broken","c@x.com","d@x.com"], t=["x"*300,"y"*300,"x"*300,"z"," "])
+    p = profile.profile(df)
+    p.explain()
+    p.orderBy("pos").show(truncate=60)
+    profile.quality_metrics(df, df).show(truncate=False)
