@@ -11,6 +11,8 @@ from tablescour.errors import CleanError
 
 # 0-based position of a row at load time; carried through filters, dropped at sinks.
 ROW = "_row"
+# Prefix of counting columns that travel beside the data while a report is made.
+TALLY = "__tally_"
 
 
 def quoted(name: str) -> str:
@@ -23,7 +25,7 @@ def ref(name: str) -> Column:
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW]
+    return [c for c in df.columns if c != ROW and not c.startswith(TALLY)]
 
 
 def is_missing(value: Column) -> Column:
