@@ -117,15 +117,18 @@ def inventory(
     """One row per file: path, filename, extension, size_bytes, kind, encoding, delimiter,
     header, spans_lines, status and error_code (NULL when it can be loaded)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    # The content column is not read: this lists names and sizes only.
-    files = spark.read.format("binaryFile").load(paths).select(
-        "path", F.col("length").alias("size_bytes")
-    )
+    # The content column is not read: this lists names and sizes only. Scans skip empty
+    # files, which the listing of the reader still names.
+    listing = spark.read.format("binaryFile").load(paths)
+    files = listing.select("path", F.col("length").alias("size_bytes"))
+    named = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string")
+    named = named.withColumn("path", plain_path(F.col("path")))
     heads = files.select("path").mapInPandas(_heads, _HEAD_SCHEMA)
     checks = line_checks(spark, paths).withColumn("path", plain_path(F.col("path")))
     files = files.withColumn("path", plain_local(F.col("path")))
     heads = heads.withColumn("path", plain_local(F.col("path")))
-    joined = files.join(heads, "path").join(checks, "path", "left")
+    joined = named.join(files, "path", "left").join(heads, "path", "left").join(checks, "path", "left")
+    joined = joined.withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
     filename = F.substring_index("path", "/", -1)
     extension = F.when(filename.contains("."), F.lower(F.substring_index(filename, ".", -1)))
     expected = F.create_map(*[F.lit(x) for pair in KIND_OF.items() for x in pair])
@@ -149,7 +152,7 @@ def inventory(
         "filename",
         "extension",
         "size_bytes",
-        "kind",
+        F.coalesce("kind", F.lit("text")).alias("kind"),
         F.when(F.col("utf8"), "UTF-8").when(~F.col("utf8"), "windows-1252").alias("encoding"),
         "delimiter",
         "header",
