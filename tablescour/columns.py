@@ -24,6 +24,16 @@ def ref(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def evaluated_once(value: Column) -> Column:
+    """The same value, kept out of reach of predicate pushdown.
+
+    A filter on a derived column is otherwise rewritten in terms of its inputs, at every
+    level, which multiplies the work (and the plan) of columns built in several stages.
+    Spark moves no filter below a projection that looks at the partition number.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW and not c.startswith(TALLY)]
 

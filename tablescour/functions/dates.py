@@ -196,8 +196,10 @@ def _parts(year_now: int) -> dict[str, str]:
     }
 
 
+# The partition number keeps filters on the result from being rewritten stage by stage;
+# see columns.evaluated_once.
 _STAMP = """
-    CASE WHEN __date_year BETWEEN 1 AND 9999 AND __date_hour BETWEEN 0 AND 23
+    CASE WHEN spark_partition_id() >= 0 AND __date_year BETWEEN 1 AND 9999 AND __date_hour BETWEEN 0 AND 23
               AND __date_minute BETWEEN 0 AND 59 AND __date_second < 60
          THEN try_make_timestamp_ntz(__date_year, __date_month, __date_day, __date_hour,
                                      __date_minute, CAST(__date_second AS DECIMAL(16, 6))) END"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescour.columns import ROW, is_missing, is_present, ref, require_columns, shown
+from tablescour.columns import ROW, evaluated_once, is_missing, is_present, ref, require_columns, shown
 from tablescour.errors import CleanError
 from tablescour.functions import patterns, text
 from tablescour.functions.dates import with_parsed_dates
@@ -52,7 +52,8 @@ def _prepared(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     numbers = dict.fromkeys(r.column for r in rules if r.rule == "numeric_range")
     out = with_parsed_dates(df, {f"__date_of_{c}": c for c in dates})
     if numbers:
-        out = out.select("*", *[text.number(ref(c)).alias(f"__number_of_{c}") for c in numbers])
+        made = {f"__number_of_{c}": evaluated_once(text.number(ref(c))) for c in numbers}
+        out = out.withColumns(made)
     return out
 
 
