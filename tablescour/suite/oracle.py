@@ -235,10 +235,10 @@ def _kept(source: str, keys: str, keep: str = "first", columns: str = "*") -> st
     )
 
 
-_events = '(SELECT _row, kind, at FROM event_rows)'
+_events = "(SELECT _row, kind, on_day FROM event_rows)"
 for _keep in ("first", "last"):
     ORACLE[f"dedupe_exact_{_keep}"] = (
-        f"{with_views('event_rows')} {_kept(_events, 'kind, at', _keep)}"
+        f"{with_views('event_rows')} {_kept(_events, 'kind, on_day', _keep)}"
     )
     ORACLE[f"dedupe_key_{_keep}"] = (
         f"{with_views('dirty_customer')} {_kept('dirty_customer', 'mail', _keep)}"
@@ -443,7 +443,7 @@ ORACLE["runs_catalog"] = f"""
            'ready' AS status
     FROM events QUALIFY row_number() OVER (PARTITION BY user_id {_NEWEST}) = 1"""
 ORACLE["match_known_names"] = """
-    SELECT s_name AS "table", spelling AS "column", target, confidence
+    SELECT s_name AS "table", spelling AS "column", target, CAST(confidence AS DOUBLE) AS confidence
     FROM supplier JOIN (VALUES (0, 'Cust NM', 'customer_name', 0.95), (1, 'E-Mail', 'email', 1.0),
       (2, 'Tel.', 'phone', 0.95), (3, 'order_no', 'order_id', 0.95), (4, 'Town', 'city', 0.95))
       AS t(k, spelling, target, confidence) ON s_suppkey % 6 = k"""

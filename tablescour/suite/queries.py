@@ -164,18 +164,18 @@ def _deduped(view_name: str, *keys: str, keep: str = "first") -> Query:
     return run
 
 
-def _without_row(view_name: str, keep: str) -> Query:
-    """Labels of ``event_rows`` copies: drop the unique columns so that rows repeat."""
+def _events_by_day(keep: str) -> Query:
+    """Events without their unique columns, so that rows repeat."""
 
     def run(spark, sf):
-        df = view(spark, sf, view_name).drop("props", "user")
+        df = view(spark, sf, "event_rows").select(ROW, "kind", "on_day")
         return dedupe.deduplicate(df, DedupeConfig("exact", [], keep))
 
     return run
 
 
-_add("dedupe_exact_first", _without_row("event_rows", "first"))
-_add("dedupe_exact_last", _without_row("event_rows", "last"))
+_add("dedupe_exact_first", _events_by_day("first"))
+_add("dedupe_exact_last", _events_by_day("last"))
 _add("dedupe_key_first", _deduped("dirty_customer", "mail"))
 _add("dedupe_key_last", _deduped("dirty_customer", "mail", keep="last"))
 _add("dedupe_composite", _deduped("dirty_orders", "cust_id", "order_status"))

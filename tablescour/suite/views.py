@@ -92,7 +92,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "_row": "event_id",
             "user": "CAST(user_id AS {S})",
             "kind": "event_type",
-            "at": "day(ts, %Y-%m-%d)",
+            "on_day": "day(ts, %Y-%m-%d)",
             "props": "props",
         },
     ),
