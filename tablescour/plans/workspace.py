@@ -16,6 +16,7 @@ from tablescour.operators.dedupe import duplicate_count
 from tablescour.plans.cleaning import CleaningPlan, PlanResult, run_validation
 from tablescour.plans.runs import RunLog
 from tablescour.plans.spec import ValidateConfig
+from tablescour.session import tune
 from tablescour.sinks import export as sinks
 from tablescour.sources import ingest
 from tablescour.sources.snapshots import read_snapshot, write_snapshot
@@ -41,7 +42,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = tune(spark), root.rstrip("/")
         self.runs = RunLog(spark, f"{self.root}/runs")
 
     def _new_path(self, dataset_id: str, name: str) -> str:

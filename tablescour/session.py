@@ -12,6 +12,21 @@ from tablescour.errors import CleanError
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+# HotSpot compiles no method above 8000 bytes of bytecode. A generated stage that long
+# runs interpreted, several times slower than the same operators generated one by one,
+# which is what Spark falls back to above this limit.
+METHOD_LIMIT = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+_SPARK_DEFAULT_LIMIT = "65535"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Lower the method limit of a session that still has Spark's default."""
+    for key, value in METHOD_LIMIT.items():
+        if spark.conf.get(key, _SPARK_DEFAULT_LIMIT) == _SPARK_DEFAULT_LIMIT:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, **conf) -> SparkSession:
     """A small local session for tests and the benchmark."""
     settings = {
@@ -19,6 +34,7 @@ def local_session(cores: int | str = 8, **conf) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g",
+        **METHOD_LIMIT,
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tablescour")

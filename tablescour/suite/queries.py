@@ -13,7 +13,7 @@ from tablescour.operators import dedupe, mapping, match, merge, normalize, previ
 from tablescour.plans import runs
 from tablescour.plans.cleaning import CleaningPlan
 from tablescour.plans.spec import DedupeConfig, NormalizeConfig, RenameConfig, Rule
-from tablescour.session import shared_dir
+from tablescour.session import shared_dir, tune
 from tablescour.sinks import export as sinks
 from tablescour.sources import ingest
 from tablescour.sources.snapshots import read_parquet
@@ -23,13 +23,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def _add(name: str, function: Query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
 
 
-def _add(name: str, function: Query) -> None:
-    QUERIES[name] = function
+def query(function: Query) -> Query:
+    _add(function.__name__, function)
+    return function
 
 
 # --- typed tables to text -------------------------------------------------------------
