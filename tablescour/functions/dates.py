@@ -33,7 +33,7 @@ _WEEKDAY_WORDS = (
     "|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 )
 
-_ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_ISO_DAY = r"^(?!0000)\d{4}-\d{2}-\d{2}$"
 _BLANKS = patterns.WHITESPACE_CLASS[:-1] + ",]+"
 # Parts that say nothing: a leading weekday, ordinal endings, "of" and "at".
 _FILLER = rf"^(?:{_WEEKDAY_WORDS})\.? +|(?<=\d)(?:st|nd|rd|th)\b| (?:of|at)(?= )"
@@ -55,10 +55,14 @@ _DECIMAL_LOOKS = r"^\d{1,2}\.\d{4}$|^(?!1[7-9]\d\d|2[01]\d\d)\d{4}\.\d{1,2}$"
 
 # Each stage maps its output columns to SQL over the columns of the stage before; {v} is
 # the source column. Regular expressions are filled in as raw SQL literals.
+# Plain ISO days, the common case, are done at once; all later stages see NULL for them.
+_ISO = {
+    "iso": f"""
+        CASE WHEN {{v}} RLIKE {sql_raw(_ISO_DAY)} THEN try_cast({{v}} AS TIMESTAMP_NTZ) END"""
+}
 _CLEANED = {
     "text": f"""
-        CASE WHEN {{v}} RLIKE {sql_raw(_ISO_DAY)} THEN {{v}}
-             WHEN {{v}} RLIKE {sql_raw(r'[0-9]')} AND length({{v}}) >= 4
+        CASE WHEN __date_iso IS NULL AND {{v}} RLIKE {sql_raw(r'[0-9]')} AND length({{v}}) >= 4
              THEN lower(btrim(regexp_replace({{v}}, {sql_raw(_BLANKS)}, ' '))) END"""
 }
 
@@ -199,7 +203,8 @@ def _parts(year_now: int) -> dict[str, str]:
 # The partition number keeps filters on the result from being rewritten stage by stage;
 # see columns.evaluated_once.
 _STAMP = """
-    CASE WHEN spark_partition_id() >= 0 AND __date_year BETWEEN 1 AND 9999 AND __date_hour BETWEEN 0 AND 23
+    CASE WHEN spark_partition_id() >= 0 AND __date_iso IS NOT NULL THEN __date_iso
+         WHEN __date_year BETWEEN 1 AND 9999 AND __date_hour BETWEEN 0 AND 23
               AND __date_minute BETWEEN 0 AND 59 AND __date_second < 60
          THEN try_make_timestamp_ntz(__date_year, __date_month, __date_day, __date_hour,
                                      __date_minute, CAST(__date_second AS DECIMAL(16, 6))) END"""
@@ -222,12 +227,13 @@ def with_parsed_dates(
     out = df
     for target, source in columns.items():
         keep = [quoted(c) for c in out.columns]
-        step = out
+        iso = f"{_ISO['iso'].replace('{v}', quoted(source))} AS __date_iso"
+        step = out.selectExpr(*keep, iso)
         for stage in stages:
             made = [
                 f"{sql.replace('{v}', quoted(source))} AS __date_{name}"
                 for name, sql in stage.items()
             ]
-            step = step.selectExpr(*keep, *made)
+            step = step.selectExpr(*keep, "__date_iso", *made)
         out = step.selectExpr(*keep, f"{_STAMP} AS {quoted(target)}")
     return out

@@ -20,7 +20,7 @@ VALUES = """2025-01-15|2025-1-5|2025/01/15|2025.03.05|2025-01/15|2025-13-01|2025
 Monday 3 March 2025|Mon 03/03/2025|2025 Jan 5|2025-Jan-05|5-Jan-2025|5/Jan/2025|Jan/5/2025
 Jan-5-2025|5Jan2025|05JAN2025|Sept 28, 2025|Sep 28 2025 10:00|28 Sept 2025 10:00 PM|20250115
 20250115103000|202501151030|202501|250115|2025|0000|0001|120.50|555-010-5678|5551234567
-02/30/2025|31/31/2025|0/1/2025|1/0/2025|00/00/0000|2025-00-10|2025-1-1 1:2|2025-1-1 1:02
+02/30/2025|31/31/2025|0/1/2025|1/0/2025|00/00/0000|0000-01-01|2025-00-10|2025-1-1 1:2|2025-1-1 1:02
 2025-01-15 10|2025-01-15 |Feb 29 2025|29 Feb 2024|1 2 2025|2025 01 15|15 01 2025|01 15 2025
 1,2,2025|Jan,5,2025|5 january, 2025|2025-01-15 10:30:61|2025-01-15 10:61|2025-01-15T10|2025-015
 2025-W03|2025-W03-1|2025001|1/20/2025Z|12-2025-01|-2025-01-15|2025-01-15 10:30 am|1/2/2025 0:00
