@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 from tablescour.columns import ref
 from tablescour.errors import CleanError
 from tablescour.sources.inventory import inventory, plain_path
-from tablescour.sources.snapshots import BLOCK, FILE, PLACE
-
-CORRUPT = "__corrupt"
+from tablescour.sources.snapshots import BLOCK, CORRUPT, FILE, PLACE
 
 
 @contextmanager
@@ -84,13 +82,11 @@ def scan(
     )
 
 
-def split_ragged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the right width, and (file, raw text) of the others."""
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = rows.filter(F.col(CORRUPT).isNotNull()).select(
+def ragged_records(rows: DataFrame) -> DataFrame:
+    """(path, record): the rows of the wrong width as raw text."""
+    return rows.filter(F.col(CORRUPT).isNotNull()).select(
         F.col(FILE).alias("path"), F.col(CORRUPT).alias("record")
     )
-    return good, bad
 
 
 def raise_first_failure(listed) -> None:

@@ -11,14 +11,16 @@ from tablescour.columns import ROW
 from tablescour.errors import CleanError
 from tablescour.functions.canonical import to_canonical
 from tablescour.session import shared_dir
-from tablescour.sources.csvfiles import CORRUPT, csv_settings, read_rows, scan, split_ragged
+from tablescour.sources.csvfiles import csv_settings, ragged_records, read_rows, scan
 from tablescour.sources.inventory import inventory
 from tablescour.sources.snapshots import (
     BLOCK,
+    CORRUPT,
     FILE,
     PLACE,
     read_snapshot,
     sorted_for_labels,
+    write_labels,
     write_snapshot,
 )
 
@@ -32,14 +34,13 @@ def load_csv(
     """One table from CSV files, frozen under ``target`` and labelled in file order.
 
     Rows of the wrong width reject the load (``malformed_csv``), or with
-    ``on_ragged="quarantine"`` go to ``<target>/quarantine`` as raw text.
+    ``on_ragged="quarantine"`` go to ``<target>/quarantine`` as raw text and leave a gap
+    in the labels. The cells are read and written once.
     """
     target = target or shared_dir(spark, "csv")
-    staged = f"{target}/staged"
     with csv_settings(spark):
-        read_rows(spark, paths).write.mode("overwrite").parquet(staged)
-    rows = spark.read.parquet(staged)
-    good, bad = split_ragged(rows)
+        read_rows(spark, paths).write.mode("overwrite").parquet(f"{target}/rows")
+    bad = ragged_records(spark.read.parquet(f"{target}/rows"))
     ragged = bad.count()
     if ragged and on_ragged == "reject":
         raise CleanError(
@@ -47,7 +48,7 @@ def load_csv(
         )
     if ragged:
         bad.write.mode("overwrite").parquet(f"{target}/quarantine")
-    write_snapshot(good, target)
+    write_labels(spark, target)
     return read_snapshot(spark, target)
 
 

@@ -20,6 +20,8 @@ from tablescour.errors import CleanError
 
 # Where a row came from; written with unlabelled rows and dropped when they are read.
 FILE, BLOCK, PLACE = "__file", "__block", "__place"
+# Raw text of a record that does not fit the columns; such rows are no data.
+CORRUPT = "__corrupt"
 _ORIGIN = (FILE, BLOCK, PLACE)
 
 
@@ -42,9 +44,13 @@ def sorted_for_labels(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Write rows (labelled, or tagged with their origin) and the label totals."""
     df.write.mode("overwrite").parquet(f"{path}/rows")
-    if ROW in df.columns:
-        return
-    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    if ROW not in df.columns:
+        write_labels(df.sparkSession, path)
+
+
+def write_labels(spark: SparkSession, path: str) -> None:
+    """Running totals of the rows already written; reads two narrow columns."""
+    rows = spark.read.parquet(f"{path}/rows")
     blocks = rows.groupBy(FILE, BLOCK).agg(
         F.min(PLACE).alias("first_place"), F.count(F.lit(1)).alias("n")
     )
@@ -65,6 +71,8 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         raise CleanError("dataset_missing", f"No dataset at '{path}'.", path=path) from error
     # No broadcast hint: Spark knows the size of the label files and decides.
+    if CORRUPT in rows.columns:
+        rows = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     joined = rows.join(labels, [FILE, BLOCK])
     names = [c for c in rows.columns if c not in _ORIGIN]
     return joined.select((F.col("shift") + F.col(PLACE)).alias(ROW), *[ref(c) for c in names])
