@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tablescour.llm import sequences
+from pyspark.sql import functions as F
+
+from tablescour.llm import mixing, sequences, vectors
 from tablescour.session import shared_dir
 
 
@@ -19,5 +21,34 @@ def op1_token_sequences(spark, sf_dir):
     return sequences.read_documents(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences,)}
-ORACLE: dict[str, str] = {}
+def op6_exact_top_k(spark, sf_dir):
+    return vectors.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_source_mix(spark, sf_dir):
+    thin = mixing.sized(_table(spark, sf_dir, "documents"))
+    rows = mixing.drawn(thin, *mixing.plan(thin))
+    taken = F.col("whole_draws") * F.col("size") + F.col("part_words")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_sequences, op6_exact_top_k, op10_source_mix)}
+ORACLE: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
