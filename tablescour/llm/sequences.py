@@ -16,8 +16,10 @@ no shard; other columns of the input are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,80 +38,90 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, first_row l
 
 
 class ChunkEncoder:
-    """Encodes batches of texts; each distinct chunk of a batch goes to the tokenizer once.
+    """Encodes batches of texts; each distinct chunk goes to the tokenizer once.
 
     A chunk begins at a single space between two characters that are surely not white
-    space. No piece of the byte-level pattern reaches across such a place, so the ids of a
-    text are those of its chunks in order. Chunks are compared by 64-bit hash.
+    space, after a line feed between two such characters, and at an ASCII mark after a
+    Latin letter. No piece of the byte-level pattern reaches across such a place, so the
+    ids of a text are those of its chunks in order. Chunks are compared by 64-bit hash.
     """
 
-    KEEP = 400_000
+    KEEP = 600_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype(np.uint16 if self.small else np.uint32)
         self.hasher = WordHasher(lower=False)
         self._forget()
-        before = np.zeros(256, bool)
-        before[0x21:0x7F] = True
-        after = before.copy()
-        after[0xC3:0xE0] = True
-        after[0xE4:0xF5] = True
-        self.before, self.after = before, after
+        self.before = np.zeros(256, bool)
+        self.before[0x21:0x7F] = True
+        self.after = self.before.copy()
+        self.after[0xC3:0xE0] = True
+        self.after[0xE4:0xF5] = True
+        self.letter = np.zeros(256, bool)
+        self.letter[0x41:0x5B] = self.letter[0x61:0x7B] = True
+        self.mark = self.before & ~self.letter
+        self.mark[0x30:0x3A] = False
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        for c in set("".join(t.content[1:] for t in added)):  # special tokens stay whole
+            if ord(c) in (0x20, 0x0A):
+                self.before[:] = self.after[:] = False
+            if ord(c) < 128:
+                self.mark[ord(c)] = False
 
     def _forget(self):
         self.known = np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.n_ids = [np.zeros(0, self.dtype)], 0
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.n_ids = np.zeros(0, self.dtype), 0
 
     def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(data == 0x20)
-        at = at[(at >= 2) & (at + 1 < len(data))]
-        latin = (data[at - 1] >= 0x80) & (data[at - 2] >= 0xC3) & (data[at - 2] < 0xE0)
+        """First byte of every chunk; ``at`` are bytes with one neighbour or more on each side."""
         cut = np.zeros(len(data) + 1, bool)
-        cut[at[(self.before[data[at - 1]] | latin) & self.after[data[at + 1]]]] = True
-        inside = np.ones(len(data) + 1, bool)  # a chunk ends with its row; looks beyond are void
-        inside[bounds] = False
-        inside[np.minimum(bounds + 1, len(data))] &= False
-        ends = bounds[bounds > 0]
-        inside[ends - 1] = False
-        cut &= inside
+        if len(data) > 3:
+            here, left, right, far = data[2:-1], data[1:-2], data[3:], data[:-3]
+            letter = self.letter[left] | ((far == 0xC3) & (left >= 0x80) & (left != 0x97) & (left != 0xB7))
+            solid = self.before[left] | ((left >= 0x80) & (far >= 0xC3) & (far < 0xE0))
+            cut[2:-2] = (here == 0x20) & solid & self.after[right] | letter & self.mark[here]
+            cut[3:-1] |= (here == 0x0A) & self.before[left] & self.after[right]
+        row = np.zeros(len(data) + 2, bool)
+        row[bounds] = True
+        # the bytes looked at, from two before a cut to one after it, are of one row
+        cut &= ~(row[:-1] | row[1:] | np.append(False, row[:-2]))
         cut[bounds[:-1][np.diff(bounds) > 0]] = True
         return np.flatnonzero(cut[:-1])
 
     def _learn(self, data, starts, ends, hashes):
         new, at = np.unique(hashes, return_index=True)
-        if len(self.known):
-            place = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
-            fresh = self.known[place] != new
-            new, at = new[fresh], at[fresh]
+        place = np.searchsorted(self.known, new)
+        fresh = np.append(self.known, np.uint64(0))[place] != new
+        fresh |= place == len(self.known)
+        new, at, place = new[fresh], at[fresh], place[fresh]
         if not len(new):
             return
         raw = data.tobytes()
-        firsts, counts = [], []
+        firsts, counts, ids = [], [], [self.ids]
         for a in range(0, len(at), 20_000):
             some = at[a : a + 20_000]
             texts = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist())]
             lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids.append(np.fromiter((i for ids in lists for i in ids), self.dtype, int(n.sum())))
+            n = np.fromiter(map(len, lists), np.int32, len(lists))
+            ids.append(np.fromiter(chain.from_iterable(lists), self.dtype, int(n.sum())))
             firsts.append(self.n_ids + np.cumsum(n) - n)
             counts.append(n)
             self.n_ids += int(n.sum())
-        known = np.concatenate([self.known, new])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.first = np.concatenate([self.first, *firsts])[order]
-        self.count = np.concatenate([self.count, *counts])[order]
-        self.ids = [np.concatenate(self.ids)]
+        self.known = np.insert(self.known, place, new)
+        self.first = np.insert(self.first, place, np.concatenate(firsts))
+        self.count = np.insert(self.count, place, np.concatenate(counts))
+        self.ids = np.concatenate(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and how many each row has."""
         data, bounds = text_bytes(column)
         ids, lengths, a = [], [], 0
-        while a < len(bounds) - 1:  # rows of about four million bytes at a time
-            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 22), "right")) - 1)
+        while a < len(bounds) - 1:  # rows of about a million bytes at a time
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1)
             got = self._encode(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
             ids.append(got[0])
             lengths.append(got[1])
@@ -125,7 +137,7 @@ class ChunkEncoder:
         self._learn(data, starts, ends, hashes)
         place = np.searchsorted(self.known, hashes)
         n = self.count[place] if len(place) else np.zeros(0, np.int64)
-        ids = self.ids[0][ragged(self.first[place], n)] if len(place) else np.zeros(0, self.dtype)
+        ids = self.ids[ragged(self.first[place], n)] if len(place) else np.zeros(0, self.dtype)
         sums = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(sums[np.searchsorted(starts, bounds)])
 
