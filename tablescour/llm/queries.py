@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablescour.llm import mixing, sequences, vectors
+from tablescour.llm import mixing, personal, sequences, vectors, wordpieces
 from tablescour.session import shared_dir
 
 
@@ -21,10 +21,19 @@ def op1_token_sequences(spark, sf_dir):
     return sequences.read_documents(spark, folder)
 
 
+def op3_word_piece_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return wordpieces.piece_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_top_k(spark, sf_dir):
     return vectors.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_personal_data(spark, sf_dir):
+    return personal.find_personal(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark, sf_dir):
     thin = mixing.sized(_table(spark, sf_dir, "documents"))
     rows = mixing.drawn(thin, *mixing.plan(thin))
@@ -32,7 +41,9 @@ def op10_source_mix(spark, sf_dir):
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_sequences, op6_exact_top_k, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_sequences, op3_word_piece_counts, op6_exact_top_k, op8_personal_data, op10_source_mix,
+)}
 ORACLE: dict[str, str] = {
     "op6_exact_top_k": """
         WITH v AS (
