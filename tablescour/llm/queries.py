@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablescour.llm import mixing, personal, sequences, vectors, wordpieces
+from tablescour.llm import derivatives, kneser_ney, mixing, personal, sequences, vectors, wordpieces
 from tablescour.session import shared_dir
 
 
@@ -30,10 +30,18 @@ def op6_exact_top_k(spark, sf_dir):
     return vectors.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_warc_derivatives(spark, sf_dir):
+    return derivatives.build(_table(spark, sf_dir, "pages"))
+
+
 def op8_personal_data(spark, sf_dir):
     return personal.find_personal(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark, sf_dir):
     thin = mixing.sized(_table(spark, sf_dir, "documents"))
     rows = mixing.drawn(thin, *mixing.plan(thin))
@@ -42,7 +50,8 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_sequences, op3_word_piece_counts, op6_exact_top_k, op8_personal_data, op10_source_mix,
+    op1_token_sequences, op3_word_piece_counts, op6_exact_top_k, op7_warc_derivatives,
+    op8_personal_data, op9_quality_classifier, op10_source_mix,
 )}
 ORACLE: dict[str, str] = {
     "op6_exact_top_k": """
