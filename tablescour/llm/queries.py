@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablescour.llm import derivatives, kneser_ney, mixing, personal, sequences, vectors, wordpieces
+from tablescour.llm import derivatives, kneser_ney, mixing, personal, sequences, setsketch, vectors, wordpieces
 from tablescour.session import shared_dir
 
 
@@ -26,6 +26,10 @@ def op3_word_piece_counts(spark, sf_dir):
     return wordpieces.piece_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark, sf_dir):
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark, sf_dir):
     return vectors.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +54,7 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_sequences, op3_word_piece_counts, op6_exact_top_k, op7_warc_derivatives,
+    op1_token_sequences, op3_word_piece_counts, op4_near_duplicates, op6_exact_top_k, op7_warc_derivatives,
     op8_personal_data, op9_quality_classifier, op10_source_mix,
 )}
 ORACLE: dict[str, str] = {
