@@ -6,7 +6,17 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tablescour.llm import derivatives, kneser_ney, mixing, personal, sequences, setsketch, vectors, wordpieces
+from tablescour.llm import (
+    decontaminate,
+    derivatives,
+    kneser_ney,
+    mixing,
+    personal,
+    sequences,
+    setsketch,
+    vectors,
+    wordpieces,
+)
 from tablescour.session import shared_dir
 
 
@@ -30,6 +40,13 @@ def op4_near_duplicates(spark, sf_dir):
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    names = {"_n_items": "n_items", "_item_ids": "item_ids", "_similarity": "similarity", "_kept": "kept"}
+    return found.drop("text").withColumnsRenamed(names)
+
+
 def op6_exact_top_k(spark, sf_dir):
     return vectors.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +71,8 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_sequences, op3_word_piece_counts, op4_near_duplicates, op6_exact_top_k, op7_warc_derivatives,
+    op1_token_sequences, op3_word_piece_counts, op4_near_duplicates,
+    op5_benchmark_decontamination, op6_exact_top_k, op7_warc_derivatives,
     op8_personal_data, op9_quality_classifier, op10_source_mix,
 )}
 ORACLE: dict[str, str] = {
