@@ -10,6 +10,7 @@ from tablescour.llm import (
     decontaminate,
     derivatives,
     kneser_ney,
+    lm_scores,
     mixing,
     personal,
     sequences,
@@ -31,6 +32,10 @@ def op1_token_sequences(spark, sf_dir):
     return sequences.read_documents(spark, folder)
 
 
+def op2_language_model_scores(spark, sf_dir):
+    return lm_scores.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_word_piece_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return wordpieces.piece_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -71,7 +76,7 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_sequences, op3_word_piece_counts, op4_near_duplicates,
+    op1_token_sequences, op2_language_model_scores, op3_word_piece_counts, op4_near_duplicates,
     op5_benchmark_decontamination, op6_exact_top_k, op7_warc_derivatives,
     op8_personal_data, op9_quality_classifier, op10_source_mix,
 )}
