@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+
+from tablescour.llm import decontaminate, kneser_ney, mixing, sequences, setsketch
+from tablescour.session import shared_dir
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Documents that the classifier rejects go."""
+    return kneser_ney.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    return setsketch.one_of_each(docs)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents with a benchmark passage go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Documents as often as the mix draws them, whole."""
+    return mixing.mix(docs, cut=False)
+
+
+def token_output(spark, docs, sf_dir):
+    """Token files; a row per document drawn, read back from them."""
+    folder = shared_dir(spark, "sequences")
+    sequences.write_sequences(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return sequences.read_documents(spark, folder)
+
+
+STAGES = [
+    ("quality", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("mixing", source_mixing),
+    ("tokens", token_output),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages over documents; each stage's rows are written and read again."""
-    from tablescour.session import shared_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark, "pipeline")
     for name, stage in STAGES:

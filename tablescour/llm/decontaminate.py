@@ -173,20 +173,30 @@ def matches(
     return similar.groupBy("doc_id", "text_hash", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """All columns of ``docs`` with ``_n_items``, ``_item_ids``, ``_similarity``, ``_kept``."""
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, Column]:
+    """Matched documents, one row each, and the condition that joins them to ``docs``."""
     found = matches(docs, items, id_col=id_col, text_col=text_col, **options)
     found = found.groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("_n_items"), F.sort_array(F.collect_list("item_id")).alias("_item_ids"),
         F.max("similarity").alias("_similarity"),
-    )
+    ).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
     path = shared_dir(docs.sparkSession, "contaminated")
     found.write.mode("overwrite").parquet(path)
-    found = docs.sparkSession.read.schema(found.schema).parquet(path)
-    found = found.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    on = (F.xxhash64(docs[text_col]) == found["_hash"]) & docs[id_col].eqNullSafe(found["_doc"])
-    joined = docs.join(_bounded(found), on, "left")
-    return joined.select(
-        *[docs[c] for c in docs.columns], F.coalesce("_n_items", F.lit(0)).alias("_n_items"), "_item_ids",
-        "_similarity", F.col("_n_items").isNull().alias("_kept"),
+    found = _bounded(docs.sparkSession.read.schema(found.schema).parquet(path))
+    return found, (F.xxhash64(docs[text_col]) == found["_hash"]) & docs[id_col].eqNullSafe(found["_doc"])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    """doc_id, n_items, item_ids, similarity and kept of each document."""
+    found, on = _found(docs, items, id_col, text_col, options)
+    return docs.join(found, on, "left").select(
+        docs[id_col].alias("doc_id"), F.coalesce(found["_n_items"], F.lit(0)).alias("n_items"),
+        found["_item_ids"].alias("item_ids"), found["_similarity"].alias("similarity"),
+        found["_n_items"].isNull().alias("kept"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    """The documents that match no item, with all their columns."""
+    found, on = _found(docs, items, id_col, text_col, options)
+    return docs.join(found, on, "left_anti")

@@ -84,7 +84,7 @@ def _places(id_col, text_col):
 
 
 def plan(
-    thin: DataFrame, *, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, shards=SHARDS, seed=17, cut=True
+    thin: DataFrame, *, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, shards=None, seed=17, cut=True
 ) -> tuple[DataFrame, DataFrame]:
     """Sources with their targets, and the draws of each of their blocks.
 
@@ -93,6 +93,7 @@ def plan(
     ``some`` words of the next, ``partly``.
     """
     spark = thin.sparkSession
+    shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     totals = thin.groupBy("source").agg(F.sum("size").alias("size")).collect()
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in totals]
@@ -183,7 +184,8 @@ def drawn(rows: DataFrame, sources: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """Rows of ``docs`` as often as they are drawn, in random order within ``_shard``.
+    """Rows of ``docs`` as often as they are drawn: a partition holds whole shards, one
+    after another, each in random order.
 
     A document drawn in part keeps its first words, with single spaces between them.
     """
@@ -210,5 +212,6 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     ]
     shard = F.col("_draw.shard").alias("_shard")
     turn = F.xxhash64(F.lit("turn"), F.col(f"_row.{id_col}"), "_copy", "_draw.shard").alias("_turn")
-    return rows.select(*columns, shard, turn)
+    rows = rows.select(F.struct(*columns).alias("_row"), shard, turn)
+    return rows.repartition("_shard").sortWithinPartitions("_shard", "_turn").select("_row.*")
 

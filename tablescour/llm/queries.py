@@ -46,10 +46,7 @@ def op4_near_duplicates(spark, sf_dir):
 
 
 def op5_benchmark_decontamination(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    names = {"_n_items": "n_items", "_item_ids": "item_ids", "_similarity": "similarity", "_kept": "kept"}
-    return found.drop("text").withColumnsRenamed(names)
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_exact_top_k(spark, sf_dir):

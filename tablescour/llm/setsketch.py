@@ -46,7 +46,7 @@ ESTIMATE = 512
 GROUP = 2000
 BROADCAST_IDS = 1_000_000
 SLICE = 1 << 20
-_SKETCH = "row_id long, node binary, n_shingles long, bands array<long>"
+_SKETCH = "row_id long, text_hash long, node binary, n_shingles long, bands array<long>"
 _FULL = "node binary, n long, shingles binary, registers binary, bands array<long>"
 
 
@@ -141,7 +141,7 @@ def _band_lists(regs: np.ndarray, bands: int) -> pa.Array:
 
 
 def _sketch(width: int, bands: int, full: bool):
-    """Task function: rows (row_id, text) to sketches, or to nodes with their full sets."""
+    """Task function: rows (row_id, text, text_hash) to sketches, or to nodes with full sets."""
 
     def run(batches):
         hasher = WordHasher(lower=True)
@@ -162,8 +162,8 @@ def _sketch(width: int, bands: int, full: bool):
                     ]
                     yield pa.record_batch(columns, names=["node", "n", "shingles", "registers", "bands"])
                 else:
-                    columns = [batch.column(0)[a:b], nodes, n, lists]
-                    yield pa.record_batch(columns, names=["row_id", "node", "n_shingles", "bands"])
+                    columns = [batch.column(0)[a:b], batch.column(2)[a:b], nodes, n, lists]
+                    yield pa.record_batch(columns, names=["row_id", "text_hash", "node", "n_shingles", "bands"])
 
     return run
 
@@ -239,10 +239,9 @@ def _searched(floor: float):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, num=85, den=100, bands=16
-) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def _grouped(docs: DataFrame, id_col, text_col, width, num, den, bands) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, text_hash, node, n_shingles), and (node, least, whole) of the nodes in
+    groups of two rows or more: the least id of a node and the name of its group."""
     spark = docs.sparkSession
     folder, limit = shared_dir(spark, "near"), num / den
     floor = _floor(limit)
@@ -251,7 +250,10 @@ def near_duplicates(
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+    )
     sketches = stored("sketches", texts.mapInArrow(_sketch(width, bands, False), _SKETCH))
     classes = sketches.where("node is not null").groupBy("node").agg(
         F.min("row_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")
@@ -317,11 +319,53 @@ def near_duplicates(
         classes.join(joined, "node", "left_semi").where("copies <= 1").select("node", "least")
     )
     groups = groups.join(joined, "node", "left").select("node", "least", F.coalesce("whole", "node").alias("whole"))
-    groups = stored("groups", groups)
+    return sketches.drop("bands"), stored("groups", groups)
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", width=3, num=85, den=100, bands=16
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    rows, groups = _grouped(docs, id_col, text_col, width, num, den, bands)
     first = groups.groupBy("whole").agg(F.min("least").alias("component_id"))
     groups = groups.join(first, "whole").select("node", "component_id")
-    out = sketches.join(groups, "node", "left").withColumn("component_id", F.coalesce("component_id", "row_id"))
+    out = rows.join(groups, "node", "left").withColumn("component_id", F.coalesce("component_id", "row_id"))
     return out.select(
         F.col("row_id").alias("doc_id"), "n_shingles", "component_id",
         F.coalesce(F.col("row_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", width=5, num=80, den=100, bands=24
+) -> DataFrame:
+    """One row of each group with all its columns: that of the least id, a null id coming
+    last, then of the least hash of its text. Rows without words all stay."""
+    spark = docs.sparkSession
+    rows, groups = _grouped(docs, id_col, text_col, width, num, den, bands)
+    rows = rows.join(groups.select("node", "whole"), "node")
+    key = F.struct(F.col("row_id").isNull().alias("none"), "row_id", "text_hash")
+    best = rows.groupBy("whole").agg(F.min(key).alias("best"))
+    same = F.col("row_id").eqNullSafe(F.col("best.row_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    judged = rows.join(best, "whole").groupBy("row_id", "text_hash").agg(
+        F.max(same).alias("stays"), F.count("*").alias("n")
+    ).where("not stays or n > 1")
+    path = shared_dir(spark, "judged")
+    judged.write.mode("overwrite").parquet(path)
+    judged = spark.read.schema(judged.schema).parquet(path)
+    judged = judged.withColumnsRenamed({"row_id": "_id", "text_hash": "_hash"})
+    few = judged.count() <= BROADCAST_IDS
+
+    def keyed(rule):
+        part = judged.where(rule)
+        part = F.broadcast(part) if few else part
+        on = (F.xxhash64(docs[text_col]) == part["_hash"]) & docs[id_col].cast("long").eqNullSafe(part["_id"])
+        return part, on
+
+    part, on = keyed("true")
+    plain = docs.join(part, on, "left_anti")
+    if not judged.where("stays").limit(1).count():
+        return plain
+    part, on = keyed("stays")  # the same row more than once: one of them stays
+    twice = docs.join(part, on).dropDuplicates(["_id", "_hash"]).select(*[docs[c] for c in docs.columns])
+    return plain.union(twice)
