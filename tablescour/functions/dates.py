@@ -224,16 +224,23 @@ def with_parsed_dates(
     year_now = reference_year or datetime.date.today().year
     stages = [_CLEANED, _TIMED, _SPACED, _CLOCK_CUT, _FIELD_LIST, _WORDS, _SHAPED]
     stages += [_roles(day_first), _parts(year_now)]
-    out = df
-    for target, source in columns.items():
-        keep = [quoted(c) for c in out.columns]
-        iso = f"{_ISO['iso'].replace('{v}', quoted(source))} AS __date_iso"
-        step = out.selectExpr(*keep, iso)
-        for stage in stages:
-            made = [
-                f"{sql.replace('{v}', quoted(source))} AS __date_{name}"
-                for name, sql in stage.items()
-            ]
-            step = step.selectExpr(*keep, "__date_iso", *made)
-        out = step.selectExpr(*keep, f"{_STAMP} AS {quoted(target)}")
-    return out
+    if not columns:
+        return df
+    keep = [quoted(c) for c in df.columns]
+
+    def own(sql: str, place: int, source: str) -> str:
+        return sql.replace("__date_", f"__date{place}_").replace("{v}", quoted(source))
+
+    def of_all(stage: Mapping[str, str]) -> list[str]:
+        return [
+            own(f"{sql} AS __date_{name}", i, source)
+            for i, source in enumerate(columns.values())
+            for name, sql in stage.items()
+        ]
+
+    isos = [f"__date{i}_iso" for i in range(len(columns))]
+    step = df.selectExpr(*keep, *of_all(_ISO))
+    for stage in stages:  # as many projections for many columns as for one
+        step = step.selectExpr(*keep, *isos, *of_all(stage))
+    stamps = [own(_STAMP, i, source) for i, source in enumerate(columns.values())]
+    return step.selectExpr(*keep, *[f"{sql} AS {quoted(c)}" for sql, c in zip(stamps, columns)])

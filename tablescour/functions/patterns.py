@@ -34,14 +34,35 @@ DECIMAL_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITE_NUMBER = r"^\s*[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?\s*$"
 
 
+# A pattern as escapes, character classes, heads of named groups, and single characters.
+_PIECES = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P[<=]\w+[>)]|.", re.S)
+
+
+def _java_class(piece: str) -> str:
+    """A class in which ``[`` and ``&&`` are plain characters, as in Python."""
+    head = re.match(r"\[\^?\]?", piece).group()
+    body = re.sub(r"(?s)(\\.)|([\[&])", lambda m: m[1] or "\\" + m[2], piece[len(head) : -1])
+    return head.replace("]", r"\]") + body + "]"
+
+
+def _java_group(piece: str) -> str:
+    """Java's spelling of a named group or reference, and of the end of the text.
+
+    Java's names have letters and digits only, so each name is spelled in code points.
+    """
+    if piece.startswith("(?P"):
+        plain = lambda c: c.isascii() and c.isalpha() and c != "Z"
+        name = "g" + "".join(c if plain(c) else f"Z{ord(c)}Z" for c in piece[4:-1])
+        return f"(?<{name}>" if piece[3] == "<" else rf"\k<{name}>"
+    return r"\z" if piece == r"\Z" else piece
+
+
 def java(pattern: str) -> str:
     """The pattern for RLIKE with Python's meaning of \\d, \\s, \\w, '.' and '$'.
 
     U makes the classes Unicode-aware; d makes a final newline the only line end.
     """
-    out = re.sub(r"\(\?P<([A-Za-z_]\w*)>", lambda m: f"(?<{m.group(1).replace('_', '')}>", pattern)
-    out = re.sub(r"\(\?P=([A-Za-z_]\w*)\)", lambda m: rf"\k<{m.group(1).replace('_', '')}>", out)
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+    out = "".join(_java_class(p) if p.startswith("[") else _java_group(p) for p in _PIECES.findall(pattern))
     return "(?Ud)" + out
 
 

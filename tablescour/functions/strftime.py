@@ -77,8 +77,8 @@ def _tokens(fmt: str) -> list[str]:
             continue
         letter = fmt[i + 1 : i + 2]
         if letter not in _COMPOSITES and letter not in _DIRECTIVES:
-            problem = f"unknown directive '%{letter}'" if letter else "dangling '%' at the end"
-            raise CleanError("invalid_date_format", f"Invalid date_format '{fmt}': {problem}.")
+            problem = f"no directive is called '%{letter}'" if letter else "it ends with a lone '%'"
+            raise CleanError("invalid_date_format", f"Cannot format dates with '{fmt}': {problem}.")
         out.append(fmt[i : i + 2])
         i += 2
     return out

@@ -31,7 +31,7 @@ def check(df: DataFrame, config: NormalizeConfig) -> None:
         if names.count(name) > 1:
             raise CleanError(
                 "duplicate_column_operation",
-                f"Column '{name}' appears more than once in the normalize step.",
+                f"A normalize step lists a column once; '{name}' comes again.",
                 column=name,
             )
     if any("normalize_date" in c.operations for c in config.columns):

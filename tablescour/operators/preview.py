@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tablescour.columns import ROW, data_columns, ref
 
-# Default and largest number of preview rows, and of dry-run rows.
+# Default numbers of preview rows and of dry-run rows.
 PREVIEW_ROWS = 50
-MAX_PREVIEW_ROWS = 200
 DRY_RUN_ROWS = 200
 
 
@@ -26,7 +25,7 @@ def records(rows: DataFrame) -> list[dict]:
 
 
 def preview(df: DataFrame, limit: int | None = None, total_rows: int | None = None) -> dict:
-    limit = min(limit or PREVIEW_ROWS, MAX_PREVIEW_ROWS)
+    limit = limit or PREVIEW_ROWS
     if total_rows is None:
         total_rows = df.select(F.lit(1)).count()
     return {

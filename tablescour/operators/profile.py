@@ -20,11 +20,10 @@ from tablescour.operators.dedupe import duplicate_count
 # Shares and sample sizes that decide a detected type.
 TYPE_SHARE = 0.90
 EMAIL_PHONE_SHARE = 0.70
-DATE_SAMPLE = 200
 SAMPLE_VALUES = 3
 
-# Longer trimmed values are grouped by digest. No date, phone or boolean word is this
-# long (a date with that many blanks inside is not recognised).
+# Values that are longer with their blanks trimmed and collapsed are grouped by digest. No
+# date, phone or boolean word is this long.
 LONG = 128
 
 _INT, _FLOAT, _EMAIL = 1, 2, 4
@@ -48,7 +47,9 @@ def histogram(df: DataFrame) -> DataFrame:
     for position, name in enumerate(data_columns(df)):
         cells += [F.lit(position), ref(name)]
     values = df.select(ROW, F.stack(F.lit(len(cells) // 2), *cells).alias("pos", "value"))
-    long = F.coalesce(F.length(text.trim(F.col("value"))) > LONG, F.lit(False))
+    value = F.col("value")
+    solid_length = F.length(text.collapse_spaces(text.trim(value)))
+    long = F.when(F.length(value) > LONG, solid_length > LONG).otherwise(False)
     keyed = values.select(ROW, "pos", "value", long.alias("long")).select(
         ROW,
         "pos",
@@ -100,7 +101,8 @@ def _column_sums(classified: DataFrame) -> DataFrame:
     def weight(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("cnt")).otherwise(0))
 
-    solid, present = F.col("solid"), F.col("present")
+    solid, present, stamp = F.col("solid"), F.col("present"), F.col("stamp")
+    clock = (F.hour(stamp) != 0) | (F.minute(stamp) != 0) | (F.second(stamp) != 0)
     return classified.groupBy("pos").agg(
         F.sum("cnt").alias("row_count"),
         weight(~present).alias("null_count"),
@@ -113,37 +115,23 @@ def _column_sums(classified: DataFrame) -> DataFrame:
         weight(solid & F.col("phone")).alias("phones"),
         weight(present & ~_has(_EMAIL)).alias("bad_emails"),
         weight(present & F.col("stamp").isNull()).alias("bad_dates"),
+        F.count_if(solid).alias("values"),
+        F.count_if(solid & _has(_INT)).alias("int_values"),
+        F.count_if(solid & stamp.isNotNull()).alias("date_values"),
+        F.count_if(solid & clock).alias("clock_values"),
     )
 
 
 def _first_values(hist: DataFrame) -> DataFrame:
-    """The earliest distinct values of each column, at most 2 x 200 of them.
+    """The earliest distinct values of each column, ``firsts``.
 
-    Blank and solid values are ranked apart, since only solid ones count for dates. The
-    rank filter runs before the shuffle. The presence test is written on the count so
+    The rank filter runs before the shuffle. The presence test is written on the count so
     that it stays above the histogram's shuffle, which is then shared.
     """
-    order = W.partitionBy("pos", "solid").orderBy("first_row")
     seen = hist.filter(F.when(F.col("present"), F.col("cnt")).otherwise(0) > 0)
-    ranked = seen.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= DATE_SAMPLE)
-
-
-def _head_sums(first: DataFrame) -> DataFrame:
-    stamp, solid = F.col("stamp"), F.col("solid")
-    clock = (F.hour(stamp) != 0) | (F.minute(stamp) != 0) | (F.second(stamp) != 0)
-    shown = F.struct("first_row", "key", "long")
-    listed = F.collect_list(F.when(F.col("rank") <= SAMPLE_VALUES, shown))
-    sums = first.groupBy("pos").agg(
-        F.count_if(solid).alias("head"),
-        F.count_if(solid & _has(_INT)).alias("head_ints"),
-        F.count_if(solid & stamp.isNotNull()).alias("head_dates"),
-        F.count_if(solid & clock).alias("head_clocks"),
-        F.slice(F.array_sort(listed), 1, SAMPLE_VALUES).alias("firsts"),
-    )
-    return sums.filter(
-        _asked_for("head", "head_ints", "head_dates", "head_clocks", F.size("firsts"))
-    )
+    order = W.partitionBy("pos").orderBy("first_row")
+    ranked = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_VALUES)
+    return ranked.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("first_row", "key", "long"))).alias("firsts"))
 
 
 def _sample_values(df: DataFrame, heads: DataFrame) -> DataFrame:
@@ -168,15 +156,15 @@ def _detected_type() -> Column:
     def share(name: str) -> Column:
         return F.col(name) / total
 
-    dated = (F.col("head") > F.col("head_ints")) & (
-        F.col("head_dates") / F.col("head") >= TYPE_SHARE
+    dated = (F.col("values") > F.col("int_values")) & (
+        F.col("date_values") / F.col("values") >= TYPE_SHARE
     )
     return (
         F.when(F.coalesce(total, F.lit(0)) == 0, "empty")
         .when(share("ints") >= TYPE_SHARE, "integer")
         .when(share("floats") >= TYPE_SHARE, "float")
         .when(share("words") >= TYPE_SHARE, "boolean")
-        .when(dated & (F.col("head_clocks") > 0), "datetime")
+        .when(dated & (F.col("clock_values") > 0), "datetime")
         .when(dated, "date")
         .when(share("emails") >= EMAIL_PHONE_SHARE, "email")
         .when(share("phones") >= EMAIL_PHONE_SHARE, "phone")
@@ -188,14 +176,13 @@ def profile(df: DataFrame) -> DataFrame:
     """One row per column: pos, name, detected_type, row_count, null_count,
     unique_count, sample_values, invalid_count (emails and dates only)."""
     hist = histogram(df)
-    heads = _head_sums(_classified(_first_values(hist)))
+    heads = _first_values(hist)
     names = df.sparkSession.createDataFrame(
         list(enumerate(data_columns(df))), "pos int, name string"
     )
     detected = F.col("detected_type")
     return (
         names.join(_column_sums(_classified(hist)), "pos", "left")
-        .join(heads.drop("firsts"), "pos", "left")
         .join(_sample_values(df, heads), "pos", "left")
         .withColumn("detected_type", _detected_type())
         .select(
@@ -259,13 +246,12 @@ def quality_metrics(df: DataFrame, original: DataFrame | None = None) -> DataFra
     if original is not None:
         before = original.agg(F.count(F.lit(1)).alias("original_rows"))
         parts.append(before.unpivot([], before.columns, "metric", "value"))
-        delta = (
-            df.select(F.lit(1).alias("n"))
-            .unionByName(original.select(F.lit(-1).alias("n")))
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_delta"))
-        )
-        parts.append(delta.unpivot([], delta.columns, "metric", "value"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    if original is None:
+        return out
+    # the difference follows from two of the totals: no third run over the tables
+    known = out.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    delta = F.create_map(F.lit("rows_delta"), F.col("m")["total_rows"] - F.col("m")["original_rows"])
+    return known.select(F.explode(F.map_concat("m", delta)).alias("metric", "value"))

@@ -70,9 +70,14 @@ def export(
         seen, F.count(F.lit(1)).alias("rows"), F.sum("__hits").alias("hits")
     )
     out = out.drop("__hits")
+    options = dict(_CSV_OPTIONS)
+    if file_format == "csv" and len(names) == 1:
+        # an empty cell alone in its row would be a blank line, which readers skip
+        out = out.select(F.coalesce(ref(names[0]), F.lit("")).alias(names[0]))
+        options["emptyValue"] = '""'
     try:
         if file_format == "csv":
-            out.write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
+            out.write.mode("overwrite").options(**options).csv(path)
         else:
             out.write.mode("overwrite").json(path, ignoreNullFields=False)
     except Exception as error:

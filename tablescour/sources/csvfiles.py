@@ -68,6 +68,7 @@ def scan(
             escape='"',
             multiLine=spans_lines,
             maxCharsPerColumn=-1,
+            maxColumns=max(20_480, 2 * len(names)),  # room for records longer than the header
             mode="PERMISSIVE",
             columnNameOfCorruptRecord=CORRUPT,
         )

@@ -27,6 +27,10 @@ TEXTUAL_BYTES = 8192
 UNDEFINED_CP1252 = "^(?:..)*?(?:81|8D|8F|90|9D)"
 
 _HEAD_BYTES = 4 * SNIFFED_CHARS
+# A header record longer than this is taken for a quote that is never closed.
+MOST_HEAD_BYTES = 1 << 26
+# A whole record after any blank lines: quoted parts may hold line ends.
+_RECORD = re.compile(rb'\s*(?=\S)[^"\r\n]*(?:"[^"]*"[^"\r\n]*)*[\r\n]')
 _HEAD_SCHEMA = "path string, kind string, delimiter string, header array<string>"
 
 
@@ -46,7 +50,10 @@ def sniff_delimiter(sample: str) -> str:
 
 
 def _read_head(path: str) -> bytes:
-    """The first bytes of a file; only these are read."""
+    """The start of a file, at least as far as its first record reaches.
+
+    Reading goes on while the text has no line end outside quotes after its first cell.
+    """
     from pyarrow import fs
 
     if path.startswith("file:"):
@@ -54,7 +61,13 @@ def _read_head(path: str) -> bytes:
     else:
         filesystem, name = fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe="/:@"))
     with filesystem.open_input_stream(name) as stream:
-        return stream.read(_HEAD_BYTES)
+        head = stream.read(_HEAD_BYTES)
+        while len(head) < MOST_HEAD_BYTES and not _RECORD.match(head):
+            more = stream.read(len(head))
+            if not more:
+                break
+            head += more
+        return head
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +82,7 @@ def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sample = head.decode("utf-8-sig")
                 except UnicodeDecodeError as error:
                     # A character cut at the end of the head is no error.
-                    cut = len(head) == _HEAD_BYTES and error.start > _HEAD_BYTES - 8
+                    cut = len(head) >= _HEAD_BYTES and error.start > len(head) - 8
                     good = head[: error.start] if cut else head
                     sample = good.decode("utf-8-sig" if cut else "cp1252", errors="replace")
                 delimiter = sniff_delimiter(sample)

@@ -320,7 +320,7 @@ def _column_profile(column: str) -> str:
           FROM source),
          (SELECT count(*) AS head, count(*) FILTER (WHERE {tests["ints"].replace(v, "x")}) AS head_ints,
                  count(*) FILTER (WHERE {_date("x")} IS NOT NULL) AS head_dates
-          FROM (SELECT x FROM {firsts} WHERE {_trim("x")} <> '' ORDER BY r LIMIT 200)),
+          FROM (SELECT x FROM {firsts} WHERE {_trim("x")} <> '')),
          (SELECT coalesce(string_agg(x, '|' ORDER BY r), '') AS sample_values
           FROM (SELECT x, r FROM {firsts} ORDER BY r LIMIT 3))"""
 

@@ -102,7 +102,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     ),
     "turn_rows": (
         "conversations",
-        {"_row": "conv_id * 1000 + turn", "role": "role", "text": "text"},
+        {"_row": "conv_id * 4294967296 + turn", "role": "role", "text": "text"},
     ),
 }
 

@@ -37,7 +37,7 @@ def test_full_report(people):
         "duplicate_rows_involved": 2, "rows_removed": 1, "output_rows": 3,
     }
     assert dedupe["removed_rows"] == [{"cust_nm": "Ann Lee", "mail": "a@x.com", "age": "30"}]
-    assert dedupe["input_rows"], dedupe["output_rows"] == (4, 3)
+    assert (dedupe["input_rows"], dedupe["output_rows"]) == (4, 3)
     assert drop["stats"] == {"rules": 1, "errors_total": 2, "rows_dropped": 2, "drop_invalid_rows": True}
     assert (drop["input_rows"], drop["output_rows"]) == (3, 1)
     assert [s["before"] for s in drop["samples"]] == ["abc", "130"]
