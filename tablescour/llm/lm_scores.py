@@ -14,7 +14,7 @@ Model: absolute discounting, interpolated with the add-one unigram estimate,
 quantised (see ``trie``); ``base_score`` uses exact counts.
 
 Tokens are words in lower case (A-Z only) and an end after each text. Words are compared
-by 64-bit hash. Defined cases: a null or empty text is the end alone; the id of a null id
+by 64-bit hash, successors of one context by 48 bits of it. Defined cases: a null or empty text is the end alone; the id of a null id
 is the empty string for the split; rows with equal ids are scored alone; without training
 texts all counts are 0; an empty table gives an empty result; other columns are not read.
 """
@@ -30,17 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescour.llm.files import Output, open_input
-from tablescour.llm.trie import Trie, value_coarse, value_fine
+from tablescour.llm.trie import Trie, code_fine, value_coarse, value_fine
 from tablescour.llm.words import WordHasher, mix, text_bytes
 from tablescour.session import shared_dir
 
-BLOCK = 1_500_000
+BLOCK = 1_200_000
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 HOT_DOCS, HOT_SHARE = 2000, 1e-3
 BEGIN, END = np.uint64(1), np.uint64(2)
-_ASKED = "shard int, block string, contexts binary, own binary, counts binary, widths binary, words binary, pairs binary"
-_TOLD = "shard int, block string, counts binary, mass binary, width binary, joint binary, n long, v long, hot array<long>"
+_ASKED = "shard int, block string, payload binary"
+_TOLD = "shard int, block string, payload binary, n long, v long, hot array<long>"
 _OUT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -106,22 +106,27 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(hashes) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-def _save(path: str, attempt: int, arrays: list[np.ndarray]) -> None:
-    output = Output(path, attempt)
-    for array in arrays:
-        raw = pa.compress(array.tobytes(), codec="zstd", asbytes=True)
-        output.stream.write(np.array([len(raw), array.nbytes], np.int64).tobytes() + raw)
-    output.finish()
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed block of bytes."""
+    sizes = np.array([a.nbytes for a in arrays], np.int64)
+    raw = sizes.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _load(path: str, kinds: list) -> list[np.ndarray]:
-    with open_input(path) as file:
-        out = []
-        for kind in kinds:
-            size, full = np.frombuffer(file.read(16), np.int64).tolist()
-            raw = pa.decompress(file.read(size), full, codec="zstd", asbytes=True) if full else b""
-            out.append(np.frombuffer(raw, kind))
-        return out
+def _unpack(packed: bytes, kinds: list) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], int(np.frombuffer(packed[:8], np.int64)[0]), codec="zstd", asbytes=True)
+    ends = np.cumsum(np.frombuffer(raw[: 8 * len(kinds)], np.int64)) + 8 * len(kinds)
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip([8 * len(kinds), *ends.tolist()], ends.tolist(), kinds)]
+
+
+def _halves(hashes: np.ndarray) -> list[np.ndarray]:
+    """48 bits of second words: enough to tell the successors of one context apart."""
+    return [hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint16)]
+
+
+# contexts, own, counts of own contexts, successors here; successor words and pair counts
+_QUESTION = [np.uint64, bool, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32]
+_ANSWER = [np.int64, np.uint16, np.uint8]  # counts and width codes of own contexts, codes of pairs
 
 
 def _ask(folder: str, shards: int, hot: np.ndarray):
@@ -137,7 +142,9 @@ def _ask(folder: str, shards: int, hot: np.ndarray):
             numbers = np.array([x if x is not None else 0 for x in doc_ids], np.int64)
             missing = np.array([x is None for x in doc_ids])
             parts = [numbers, missing, train, n.astype(np.int64), hashes, ids.astype(np.uint32)]
-            _save(f"{folder}/blocks/{name}", context.taskAttemptId(), parts)
+            output = Output(f"{folder}/blocks/{name}", context.taskAttemptId())
+            output.stream.write(_pack(parts))
+            output.finish()
             used = np.repeat(train, n)
             counts = np.bincount(ids[used], minlength=len(hashes))
             counts[np.searchsorted(hashes, BEGIN)] = train.sum()
@@ -158,14 +165,12 @@ def _ask(folder: str, shards: int, hot: np.ndarray):
             rows = []
             for s in np.flatnonzero(np.diff(e)):
                 a, b, c, d = e[s], e[s + 1], p[s], p[s + 1]
-                rows.append((
-                    int(s), name, hashes[entry_word[a:b]].tobytes(), mine[a:b].tobytes(),
-                    counts[entry_word[a:b]][mine[a:b]].astype(np.uint32).tobytes(),
-                    widths[a:b].astype(np.uint32).tobytes(), hashes[v[c:d]].tobytes(),
-                    pairs[c:d].astype(np.uint32).tobytes(),
-                ))
-            kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
-            names = [c.split()[0] for c in _ASKED.split(", ")]
+                rows.append((int(s), name, _pack([
+                    hashes[entry_word[a:b]], mine[a:b], counts[entry_word[a:b]][mine[a:b]].astype(np.uint32),
+                    widths[a:b].astype(np.uint32), *_halves(hashes[v[c:d]]), pairs[c:d].astype(np.uint32),
+                ])))
+            kinds = [pa.int32(), pa.string(), pa.binary()]
+            names = ["shard", "block", "payload"]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             yield pa.record_batch(columns, names=names)
 
@@ -177,9 +182,12 @@ def _tell(folder: str, hot: np.ndarray):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        kinds = {"contexts": np.uint64, "own": bool, "counts": np.uint32, "widths": np.uint32, "words": np.uint64, "pairs": np.uint32}
-        asked = [{c: np.frombuffer(row[c], k) for c, k in kinds.items()} for row in table.to_pylist()]
-        flat = {c: np.concatenate([x[c] for x in asked]) for c in kinds}
+        asked = []
+        for payload in table.column("payload"):
+            contexts, own, counts, widths, low, high, pairs = _unpack(payload.as_py(), _QUESTION)
+            words = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+            asked.append({"contexts": contexts, "own": own, "counts": counts, "widths": widths, "words": words, "pairs": pairs})
+        flat = {c: np.concatenate([x[c] for x in asked]) for c in asked[0]}
         contexts, number = np.unique(flat["contexts"], return_inverse=True)
         counts = np.bincount(number[flat["own"]], flat["counts"], len(contexts)).astype(np.int64)
         first = np.repeat(number, flat["widths"])
@@ -196,16 +204,15 @@ def _tell(folder: str, hot: np.ndarray):
             at = trie.contexts.index(x["contexts"])
             mine = at[x["own"]]
             joint = trie.joints(np.repeat(at, x["widths"]), x["words"])
-            told = trie.counts[mine], trie.mass[mine], trie.width[mine], joint
-            rows.append((shard, block, *[c.tobytes() for c in told], 0, 0, None))
+            rows.append((shard, block, _pack([trie.counts[mine], trie.width[mine], joint]), 0, 0, None))
         owned = np.zeros(len(contexts), bool)
         owned[number[flat["own"]]] = True
         token = owned & (contexts != BEGIN)
         place = trie.contexts.index(hot)
         widths = trie.pointers.at(np.maximum(place, 0) + 1) - trie.pointers.at(np.maximum(place, 0))
         widths = np.where(place >= 0, widths.astype(np.int64), 0).tolist() if len(hot) else []
-        rows.append((shard, None, None, None, None, None, int(counts[token].sum()), int((counts[token] > 0).sum()), widths))
-        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        rows.append((shard, None, None, int(counts[token].sum()), int((counts[token] > 0).sum()), widths))
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in _TOLD.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -218,26 +225,23 @@ def _sum_up(folder: str, shards: int, hot: np.ndarray, hot_widths: np.ndarray, t
     def run(table: pa.Table) -> pa.Table:
         name = table.column("block")[0].as_py()
         told = table.sort_by("shard").to_pydict()
-        numbers, missing, train, n, hashes, ids = _load(
-            f"{folder}/blocks/{name}", [np.int64, bool, bool, np.int64, np.uint64, np.uint32]
-        )
+        with open_input(f"{folder}/blocks/{name}") as file:
+            kinds = [np.int64, bool, bool, np.int64, np.uint64, np.uint32]
+            numbers, missing, train, n, hashes, ids = _unpack(file.read(), kinds)
         ids = ids.astype(np.int64)
-        kinds = {"counts": np.int64, "mass": np.uint16, "width": np.uint16, "joint": np.uint8}
-        values = {c: np.frombuffer(b"".join(told[c]), k) for c, k in kinds.items()}
+        answers = [_unpack(x, _ANSWER) for x in told["payload"]]
+        own_counts, own_widths, codes = (np.concatenate(x) for x in zip(*answers))
         order = np.lexsort((np.arange(len(hashes)), shard_of(hashes, shards)))
-        by_word = {}
-        for c in ("counts", "mass", "width"):
-            by_word[c] = np.empty(len(hashes), values[c].dtype)
-            by_word[c][order] = values[c]
-        counts = by_word["counts"]
-        known_mass, widths = value_fine(by_word["mass"]), value_fine(by_word["width"])
+        counts, widths = np.empty(len(hashes), np.int64), np.empty(len(hashes))
+        counts[order], widths[order] = own_counts, value_fine(own_widths)
+        known_mass = value_fine(code_fine(counts))
         if len(hot):
             place = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
             widths = np.where(hot[place] == hashes, hot_widths[place], widths)
         _, u, v, pair = place_pairs(hashes, ids, n, shards, hot)
         base = np.log10((counts + 1.0) / (total + 1.0 * (types + 1)))
         single = (known_mass + 1.0) / (total + 1.0 * (types + 1))
-        joint = value_coarse(values["joint"], discount)
+        joint = value_coarse(codes, discount)
         mass = known_mass[u]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(mass > 0, (joint + discount * widths[u] * single[v]) / mass, single[v])
@@ -288,5 +292,5 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", discou
     widths = np.zeros(len(hot))
     for row in stats.select(F.posexplode("hot")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         widths[row.pos] = row.n
-    answers = told.where("block is not null").select("shard", "block", "counts", "mass", "width", "joint")
+    answers = told.where("block is not null").select("shard", "block", "payload")
     return answers.groupBy("block").applyInArrow(_sum_up(folder, shards, hot, widths, sums.n, sums.v, discount), _OUT)
