@@ -418,6 +418,12 @@ ORACLE["export_roundtrip_csv"] = (
     f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text "
     f"FROM ({view_sql('document_rows')})"
 )
+ORACLE["export_one_column"] = """
+    SELECT CASE doc_id % 3 WHEN 1 THEN coalesce(text, '') ELSE '' END AS text FROM documents"""
+ORACLE["csv_wide_header"] = """
+    SELECT DISTINCT repeat('the_status_of_the_orders_with_number_', 5) || lpad(CAST(o_orderkey % 400 AS VARCHAR), 6, '0') AS name,
+           lpad(CAST(o_orderkey % 400 AS VARCHAR), 6, '0') AS cell
+    FROM orders"""
 ORACLE["export_roundtrip_json"] = (
     f"SELECT {', '.join(_order_columns)} FROM ({view_sql('dirty_orders')})"
 )
@@ -447,3 +453,16 @@ ORACLE["match_known_names"] = """
     FROM supplier JOIN (VALUES (0, 'Cust NM', 'customer_name', 0.95), (1, 'E-Mail', 'email', 1.0),
       (2, 'Tel.', 'phone', 0.95), (3, 'order_no', 'order_id', 0.95), (4, 'Town', 'city', 0.95))
       AS t(k, spelling, target, confidence) ON s_suppkey % 6 = k"""
+# Expected scores by hand: twice the matched letters over all letters, weighed by 0.9.
+ORACLE["match_spellings"] = """
+    SELECT s_name AS "table", spelling || CASE WHEN part THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS "column",
+           target, round(CASE WHEN part THEN 0.6 ELSE 0.9 * 2 * matched / letters END, 2) AS confidence,
+           CASE WHEN part THEN 'substring name match'
+                ELSE printf('name similarity %.2f', 2.0 * matched / letters) END AS rationale
+    FROM supplier, (VALUES ('phon', 'phone', 4, 9.0, false), ('statuss', 'status', 6, 13.0, false),
+      ('customr_name', 'customer_name', 11, 23.0, false), ('countryx', 'country', 7, 15.0, false),
+      ('total_paid_', 'amount', 0, 1.0, true), ('my_city_', 'city', 0, 1.0, true))
+      AS t(spelling, target, matched, letters, part)"""
+ORACLE["val_regex_class"] = r"""
+    SELECT doc_id + 1 AS row, word AS value FROM (SELECT doc_id, string_split(text, ' ')[1] AS word FROM documents)
+    WHERE word <> '' AND NOT regexp_full_match(word, '[A-Za-z&\[.,]+s?')"""

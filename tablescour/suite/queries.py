@@ -131,6 +131,15 @@ for _rule in (*CUSTOMER_RULES, ORDER_RULES[0]):
 _add("val_regex_documents", _failures("document_rows", Rule("text", "regex", pattern=r"[^0-9]*")))
 
 
+@query
+def val_regex_class(spark, sf):
+    """Rows whose text a pattern with ``[`` and ``&&`` in a class does not match."""
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias(ROW), F.element_at(F.split("text", " "), 1).alias("word")
+    )
+    return validate.failures(rows, [Rule("word", "regex", pattern=r"(?P<a_b>[A-Za-z&&[.,]+)(?P<ab>s?)")]).select("row", "value")
+
+
 @query
 def val_summary(spark, sf):
     return validate.summarize(view(spark, sf, "dirty_customer"), CUSTOMER_RULES)
@@ -417,6 +426,30 @@ def export_roundtrip_csv(spark, sf):
     return ingest.load_csv(spark, f"{path}/*.csv").drop(ROW)
 
 
+@query
+def export_one_column(spark, sf):
+    """Texts alone in their rows, every third one empty: no row may get lost."""
+    path = shared_dir(spark, "export")
+    rows = view(spark, sf, "document_rows")
+    text = F.when(F.col(ROW) % 3 == 0, "").when(F.col(ROW) % 3 == 1, F.col("text")).alias("text")
+    sinks.export(rows.select(ROW, text), "csv", path, guard_formulas=False)
+    return ingest.load_csv(spark, f"{path}/*.csv").drop(ROW)
+
+
+@query
+def csv_wide_header(spark, sf):
+    """One column per order, with names that make the header longer than a first read."""
+    folder = shared_dir(spark, "wide")
+    orders = table(spark, sf, "orders").select((F.col("o_orderkey") % 400).alias("k")).distinct()
+    numbers = [r.k for r in orders.orderBy("k").collect()]  # at most 400: they become columns
+    header = ",".join(f"{'the_status_of_the_orders_with_number_' * 5}{k:06d}" for k in numbers)
+    cells = F.array_join(F.sort_array(F.collect_list(F.lpad(F.col("k").cast("string"), 6, "0"))), ",")
+    orders.agg(cells.alias(header)).coalesce(1).write.csv(f"{folder}/csv", header=True, sep="\x01", quote="")
+    loaded = ingest.load_csv(spark, f"{folder}/csv/*.csv").drop(ROW)
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in loaded.columns])
+    return loaded.select(F.inline(pairs))
+
+
 @query
 def export_roundtrip_json(spark, sf):
     path = shared_dir(spark, "export")
@@ -489,7 +522,7 @@ def _words(spark, sf) -> DataFrame:
     """The words of all documents and item names as a catalog of column names."""
     texts = table(spark, sf, "documents").select(F.lit("documents").alias("table"), "text")
     names = table(spark, sf, "part").select(F.lit("part").alias("table"), F.col("p_name").alias("text"))
-    words = F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("column")
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("column")
     return texts.unionByName(names).select("table", words).filter("column <> ''").distinct()
 
 
@@ -498,6 +531,21 @@ def match_columns(spark, sf):
     return match.suggest(_words(spark, sf))
 
 
+@query
+def match_spellings(spark, sf):
+    """Names in need of similarity and substring tests, several in each supplier's file."""
+    number = F.col("s_suppkey").cast("string")
+    spellings = {
+        "phon": "near", "statuss": "near", "customr_name": "near", "countryx": "near",
+        "total_paid_": "part", "my_city_": "part", "zzqqx_": "none",
+    }
+    names = [F.lit(k) if v == "near" else F.concat(F.lit(k), number) for k, v in spellings.items()]
+    files = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("table"), F.explode(F.array(*names)).alias("column")
+    )
+    return match.suggest(files).select("table", "column", "target", "confidence", "rationale")
+
+
 @query
 def match_known_names(spark, sf):
     """Spellings of target names per supplier file, matched exactly or as synonyms."""
