@@ -86,17 +86,17 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def removed_samples(df: DataFrame, config: DedupeConfig, limit: int = SAMPLES) -> DataFrame:
     """The first removed rows by row label, whole.
 
-    Of the overall first ``limit`` removed rows, each key holds at most the first
-    ``limit`` + 1 of its own rows; that rank filter runs before the shuffle.
+    Only key digests and labels are ranked. Of the overall first ``limit`` removed rows,
+    each key holds at most the first ``limit`` + 1 of its own rows; that rank filter runs
+    before the shuffle. The few rows shown are then looked up by their labels.
     """
-    keys = key_columns(df, config)
-    by_key = W.partitionBy(*[ref(k) for k in keys]).orderBy(ROW)
-    head = df.withColumn("__rank", F.row_number().over(by_key)).filter(
-        F.col("__rank") <= limit + 1
-    )
+    narrow = df.select(row_digest(key_columns(df, config)).alias("__key"), ROW)
+    by_key = W.partitionBy("__key").orderBy(ROW)
+    head = narrow.withColumn("__rank", F.row_number().over(by_key)).filter(F.col("__rank") <= limit + 1)
     if config.keep == "first":
         removed = head.filter(F.col("__rank") > 1)
     else:
         later = head.withColumn("__next", F.lead(ROW).over(by_key))
-        removed = later.filter(F.col("__next").isNotNull()).drop("__next")
-    return removed.drop("__rank").orderBy(ROW).limit(limit)
+        removed = later.filter(F.col("__next").isNotNull())
+    shown = removed.select(ROW).orderBy(ROW).limit(limit)
+    return df.join(F.broadcast(shown), ROW, "left_semi").orderBy(ROW)

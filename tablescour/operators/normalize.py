@@ -53,7 +53,7 @@ def _staged(df: DataFrame, config: NormalizeConfig, keep_stages: bool) -> DataFr
     for wave in range(max(len(ops) for ops in chains.values())):
         due = {c: ops[wave] for c, ops in chains.items() if wave < len(ops)}
         dates = {f"__parsed_{position[c]}": c for c, op in due.items() if op == "normalize_date"}
-        stage = with_parsed_dates(out, dates, config.day_first)
+        stage = with_parsed_dates(out, dates, config.day_first, config.reference_year)
         made = {}
         for column, op in due.items():
             value = ref(column)

@@ -124,6 +124,8 @@ class NormalizeConfig:
     date_format: str = "%Y-%m-%d"
     day_first: bool = False
     null_tokens: list[str] = field(default_factory=lambda: list(NULL_WORDS))
+    # Two-digit years lie within 50 years of this one; None means the year of the run.
+    reference_year: int | None = None
 
     def __post_init__(self):
         if not self.columns:

@@ -66,3 +66,25 @@ def test_date_columns_share_their_projections(table):
     assert all(str(row[f"d{i}"]) == "2021-03-04 00:00:00" for i in range(12))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("Project") <= 12
+
+
+def test_two_digit_years_follow_the_spec(table):
+    from tablescour.operators import normalize
+
+    raw = {"columns": [{"column": "a", "operations": ["normalize_date"]}]}
+    for year, want in ((1950, "1969-03-01"), (2025, "2069-03-01"), (2090, "2069-03-01")):
+        config = NormalizeConfig.parse({**raw, "reference_year": year})
+        assert normalize.normalize(table(a=["03/01/69"]), config).first()["a"] == want
+
+
+def test_removed_samples_rank_narrow_rows(table):
+    from tablescour.operators import dedupe
+    from tablescour.plans.spec import DedupeConfig
+
+    df = table(a=["x", None, "x", "", None, "x"], b=list("pqrstu"))
+    for keep, want in (("first", [2, 4, 5]), ("last", [0, 1, 2])):
+        got = dedupe.removed_samples(df, DedupeConfig("columns", ["a"], keep))
+        assert [r[ROW] for r in got.collect()] == want and got.columns == df.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window [" in line)
+    assert " b#" not in window
