@@ -77,7 +77,34 @@ QUERIES = {f.__name__: f for f in (
     op5_benchmark_decontamination, op6_exact_top_k, op7_warc_derivatives,
     op8_personal_data, op9_quality_classifier, op10_source_mix,
 )}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE: dict[str, str] = {
+    "op4_near_duplicates": rf"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM docs
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), paths AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM docs
+            UNION SELECT reached.a, paths.b FROM reached JOIN paths ON reached.b = paths.a
+        ), least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY 1)
+        SELECT docs.doc_id, coalesce(sizes.n, 0) AS n_shingles, least.component_id,
+               docs.doc_id = least.component_id AS kept
+        FROM docs LEFT JOIN sizes USING (doc_id) JOIN least ON least.a = docs.doc_id
+    """,
     "op6_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
