@@ -14,7 +14,7 @@ from tablescour.columns import TALLY, is_present, ref
 from tablescour.errors import CleanError
 from tablescour.operators import dedupe, mapping, normalize, preview, validate
 from tablescour.plans.spec import Step, ValidateConfig, parse_steps, steps_to_dict
-from tablescour.session import shared_dir
+from tablescour.session import remove, shared_dir
 
 REPORTS = ("counts", "full")
 
@@ -42,6 +42,14 @@ class PlanResult:
     changed_cells: int
     steps: list[dict]
     validation_results: list[dict] = field(default_factory=list)
+    # Folders that ``df`` reads; see discard().
+    staged: list[str] = field(default_factory=list)
+
+    def discard(self) -> None:
+        """Remove the staged copies, once ``df`` has been written elsewhere."""
+        for path in self.staged:
+            remove(self.df.sparkSession, path)
+        self.staged.clear()
 
 
 class CleaningPlan:
@@ -82,6 +90,7 @@ class CleaningPlan:
             raise CleanError("invalid_pipeline", f"Unknown report '{report}'.")
         self.apply(df)  # names every bad column before any job runs
         made: dict[str, dict] = {}
+        staged: list[str] = []
         source = df
         for narrow, closing in _segments(self.enabled):
             inputs, out = {}, source
@@ -92,9 +101,12 @@ class CleaningPlan:
             for step in narrow:
                 made[step.id] = _narrow_report(step, inputs[step.id], counts, report)
             if closing is not None:
-                made[closing.id], out = _dedupe_report(closing, out, counts["rows_out"], report)
+                staged.append(shared_dir(df.sparkSession, "deduped"))
+                made[closing.id], out = _dedupe_report(closing, out, counts["rows_out"], report, staged[-1])
             source = out
-        return self._result(df, source, made)
+        result = self._result(df, source, made)
+        result.staged = staged
+        return result
 
     def dry_run(self, df: DataFrame, rows: int = preview.DRY_RUN_ROWS) -> PlanResult:
         """The same run on the first rows only; nothing is kept."""
@@ -291,9 +303,8 @@ def validation_results(
     return out
 
 
-def _dedupe_report(step: Step, df: DataFrame, rows: int, report: str) -> tuple[dict, DataFrame]:
+def _dedupe_report(step: Step, df: DataFrame, rows: int, report: str, path: str) -> tuple[dict, DataFrame]:
     spark, config = df.sparkSession, step.config
-    path = shared_dir(spark, "deduped")
     dedupe.with_copies(df, config).write.parquet(path)
     kept = spark.read.parquet(path)
     counts = kept.agg(*dedupe.copy_sums()).first().asDict()

@@ -98,6 +98,7 @@ class Workspace:
         result = plan.run(self.original(dataset_id), report)
         path = self._new_path(dataset_id, f"version-{uuid.uuid4().hex}")
         write_snapshot(result.df, path)
+        result.discard()
         result.df = read_snapshot(self.spark, path)
         listed = [
             {"id": s["step_id"], "type": s["step_type"], "status": s["status"], "summary": s["summary"]}

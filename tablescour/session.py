@@ -59,3 +59,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         parent = tempfile.mkdtemp(prefix="tablescour-")
         spark.conf.set(CHECKPOINT_CONF, parent)
     return f"{parent.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`shared_dir`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder.getFileSystem(conf).delete(folder, True)

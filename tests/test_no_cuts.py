@@ -88,3 +88,17 @@ def test_removed_samples_rank_narrow_rows(table):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     window = next(line for line in plan.splitlines() if "Window [" in line)
     assert " b#" not in window
+
+
+def test_staged_copies_can_be_discarded(table, tmp_path):
+    import os
+
+    from tablescour.plans.cleaning import CleaningPlan
+
+    steps = [{"id": "d", "type": "dedupe", "config": {"mode": "columns", "columns": ["a"]}}]
+    result = CleaningPlan(steps).run(table(a=["x", "x", "y"]))
+    assert result.output_rows == result.df.count() == 2
+    folders = [p.removeprefix("file:") for p in result.staged]
+    assert folders and all(map(os.path.isdir, folders))
+    result.discard()
+    assert not result.staged and not any(map(os.path.exists, folders))
