@@ -19,11 +19,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the bounds of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    _, bounds, data = column.buffers()
+    if column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    _, bounds, data = column.buffers()
+    width = np.int64 if column.type == pa.large_string() else np.int32
+    bounds = np.frombuffer(bounds, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
