@@ -43,7 +43,7 @@ FINE, COARSE = 1.001, 140  # base of the band registers; levels merged for the e
 LEVELS = (1 << 16) - 1
 RATE = 20.0
 ESTIMATE = 512
-GROUP = 2000
+GROUP = 500
 BROADCAST_IDS = 1_000_000
 SLICE = 1 << 20
 _SKETCH = "row_id long, text_hash long, node binary, n_shingles long, bands array<long>"
