@@ -103,6 +103,16 @@ def test_classifier_on_held_out_labels(spark):
     assert good.kept.mean() > 0.97 and seen[seen.quality == 0].kept.mean() < 0.45
 
 
+def test_classifier_rejects_held_out_toxic_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()
+    seen = kneser_ney.classify(docs, even).toPandas().merge(odd, on="doc_id")
+    toxic = seen[(seen.quality == 1) & (seen.toxic == 1)]
+    assert len(toxic) and toxic.kept.mean() < 0.4
+    good = seen[(seen.quality == 1) & (seen.toxic == 0)]
+    assert good.kept.mean() > 0.97
+
+
 def test_classifier_on_messy_rows(spark, messy, no_docs):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame(
