@@ -126,7 +126,8 @@ def _halves(hashes: np.ndarray) -> list[np.ndarray]:
 
 # contexts, own, counts of own contexts, successors here; successor words and pair counts
 _QUESTION = [np.uint64, bool, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32]
-_ANSWER = [np.int64, np.uint16, np.uint8]  # counts and width codes of own contexts, codes of pairs
+# counts and width codes of own contexts, codes of pairs, exact counts of pairs above the codes
+_ANSWER = [np.int64, np.uint16, np.uint8, np.int64]
 
 
 def _ask(folder: str, shards: int, hot: np.ndarray):
@@ -203,8 +204,8 @@ def _tell(folder: str, hot: np.ndarray):
         for block, x in zip(table.column("block").to_pylist(), asked):
             at = trie.contexts.index(x["contexts"])
             mine = at[x["own"]]
-            joint = trie.joints(np.repeat(at, x["widths"]), x["words"])
-            rows.append((shard, block, _pack([trie.counts[mine], trie.width[mine], joint]), 0, 0, None))
+            joint, over = trie.pairs(np.repeat(at, x["widths"]), x["words"])
+            rows.append((shard, block, _pack([trie.counts[mine], trie.width[mine], joint, over]), 0, 0, None))
         owned = np.zeros(len(contexts), bool)
         owned[number[flat["own"]]] = True
         token = owned & (contexts != BEGIN)
@@ -230,7 +231,7 @@ def _sum_up(folder: str, shards: int, hot: np.ndarray, hot_widths: np.ndarray, t
             numbers, missing, train, n, hashes, ids = _unpack(file.read(), kinds)
         ids = ids.astype(np.int64)
         answers = [_unpack(x, _ANSWER) for x in told["payload"]]
-        own_counts, own_widths, codes = (np.concatenate(x) for x in zip(*answers))
+        own_counts, own_widths, codes, over = (np.concatenate(x) for x in zip(*answers))
         order = np.lexsort((np.arange(len(hashes)), shard_of(hashes, shards)))
         counts, widths = np.empty(len(hashes), np.int64), np.empty(len(hashes))
         counts[order], widths[order] = own_counts, value_fine(own_widths)
@@ -241,7 +242,7 @@ def _sum_up(folder: str, shards: int, hot: np.ndarray, hot_widths: np.ndarray, t
         _, u, v, pair = place_pairs(hashes, ids, n, shards, hot)
         base = np.log10((counts + 1.0) / (total + 1.0 * (types + 1)))
         single = (known_mass + 1.0) / (total + 1.0 * (types + 1))
-        joint = value_coarse(codes, discount)
+        joint = value_coarse(codes, discount, over)
         mass = known_mass[u]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(mass > 0, (joint + discount * widths[u] * single[v]) / mass, single[v])

@@ -6,7 +6,8 @@ ranks in the trie's successor vocabulary, each raised by its context's number ti
 size of that vocabulary, so the whole level is one monotone sequence. A successor is
 looked for in its context's range only. Beside the levels stand quantised values: counts
 and successor numbers of contexts, and discounted counts of successors, as codes of
-their logarithms.
+their logarithms. Counts have no ceiling: a pair count above the range of the codes is
+kept exactly in a sorted list of places.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 
 FINE = 2048  # codes to a power of two at level 1
 EXACT_CODES, STEPS = 16, 12  # at level 2: counts up to 16 as they are, then 12 codes to a power of two
+OVER = 255  # the code of pairs whose counts are kept exactly
 
 
 class EliasFano:
@@ -106,9 +108,9 @@ class EliasFano:
 
 
 def code_fine(counts: np.ndarray) -> np.ndarray:
-    """16-bit codes of counts: 0 for 0, else of the logarithm."""
+    """Codes of counts: 0 for 0, else of the logarithm; below 2**32 they have 16 bits."""
     codes = np.rint(np.log2(np.maximum(counts, 1)) * FINE).astype(np.int64) + 1
-    return np.where(counts > 0, np.minimum(codes, 65535), 0).astype(np.uint16)
+    return np.where(counts > 0, codes, 0).astype(np.uint32)
 
 
 def value_fine(codes: np.ndarray) -> np.ndarray:
@@ -116,29 +118,32 @@ def value_fine(codes: np.ndarray) -> np.ndarray:
 
 
 def code_coarse(counts: np.ndarray) -> np.ndarray:
-    """8-bit codes of counts from 1; 0 means none."""
+    """8-bit codes of counts from 1; 0 means none, ``OVER`` that the count is kept exactly."""
     above = EXACT_CODES + np.rint(np.log2(np.maximum(counts, 1) / EXACT_CODES) * STEPS)
-    return np.where(counts <= EXACT_CODES, counts, np.minimum(above, 255)).astype(np.uint8)
+    return np.where(counts <= EXACT_CODES, counts, np.minimum(above, OVER)).astype(np.uint8)
 
 
-def value_coarse(codes: np.ndarray, discount: float) -> np.ndarray:
-    """Discounted counts."""
+def value_coarse(codes: np.ndarray, discount: float, over=None) -> np.ndarray:
+    """Discounted counts; ``over``: the exact counts of codes ``OVER``, in their order."""
     codes = codes.astype(np.float64)
     counts = np.where(codes <= EXACT_CODES, codes, EXACT_CODES * 2.0 ** ((codes - EXACT_CODES) / STEPS))
+    if over is not None:
+        counts[codes == OVER] = over
     return np.maximum(counts - discount, 0.0)
 
 
 class Trie:
     """Level 1: ``contexts`` with ``pointers``, ``counts`` and the codes ``mass`` (count)
     and ``width`` (number of successors). Level 2: ``successors`` over the vocabulary
-    ``words``, with the codes ``joint``."""
+    ``words``, with the codes ``joint``, and the exact counts ``over`` at ``places``."""
 
     LEVELS = ("contexts", "pointers", "words", "successors")
-    VALUES = (("counts", np.int64), ("mass", np.uint16), ("width", np.uint16), ("joint", np.uint8))
+    VALUES = (("counts", np.int64), ("mass", np.uint32), ("width", np.uint16), ("joint", np.uint8),
+              ("places", np.int64), ("over", np.int64))
 
     def __init__(self, levels: list[EliasFano], values: list[np.ndarray]):
         self.contexts, self.pointers, self.words, self.successors = levels
-        self.counts, self.mass, self.width, self.joint = values
+        self.counts, self.mass, self.width, self.joint, self.places, self.over = values
 
     @classmethod
     def build(cls, contexts, counts, first, second, pairs) -> Trie:
@@ -153,7 +158,10 @@ class Trie:
         widths = np.bincount(owner, minlength=len(contexts)) if len(contexts) else np.zeros(0, np.int64)
         pointers = np.concatenate([[0], np.cumsum(widths)]).astype(np.uint64)
         levels = [EliasFano.encode(x) for x in (contexts, pointers, words, keys)]
-        return cls(levels, [counts.astype(np.int64), code_fine(counts), code_fine(widths), code_coarse(sums)])
+        joint = code_coarse(sums)
+        places = np.flatnonzero(joint == OVER)
+        width = code_fine(widths).astype(np.uint16)  # a shard in memory has fewer than 2**32 successors
+        return cls(levels, [counts.astype(np.int64), code_fine(counts), width, joint, places, sums[places]])
 
     def write(self, stream) -> None:
         """Arrays one after another, each behind its length and on an eight-byte bound."""
@@ -181,15 +189,21 @@ class Trie:
 
     def joints(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of pairs of a context's number (-1: none) and a word hash."""
-        out = np.zeros(len(context), np.uint8)
+        return self.pairs(context, word)[0]
+
+    def pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes as of ``joints``, and the exact counts of those that are ``OVER``."""
+        out, over = np.zeros(len(context), np.uint8), np.zeros(0, np.int64)
         rank = self.words.index(word)
         known = np.flatnonzero((context >= 0) & (rank >= 0))
         if not len(known):
-            return out
+            return out, over
         own = context[known]
         start = self.pointers.at(own).astype(np.int64)
         stop = self.pointers.at(own + 1).astype(np.int64)
         value = own.astype(np.uint64) * np.uint64(max(1, self.words.n)) + rank[known].astype(np.uint64)
         place = self.successors.index(value, start, stop)
-        out[known[place >= 0]] = self.joint[place[place >= 0]]
-        return out
+        there = place >= 0
+        place = place[there]
+        out[known[there]] = self.joint[place]
+        return out, self.over[np.searchsorted(self.places, place[self.joint[place] == OVER])]

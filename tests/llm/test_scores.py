@@ -47,6 +47,26 @@ def test_codes_are_close():
     assert value_fine(code_fine(np.array([0])))[0] == 0
 
 
+def test_counts_have_no_ceiling(tmp_path):
+    import pyarrow as pa
+
+    counts = np.array([1, 16, 17, 1000, 10**7, 15_800_000, 16_000_000, 10**9, 2**33 + 1, 2**40])
+    n = len(counts)
+    first, second = np.repeat([0, 1], [n - 3, 3]), np.arange(n, dtype=np.uint64) + np.uint64(100)
+    contexts, sums = np.array([5, 9], np.uint64), np.array([counts[:-3].sum(), counts[-3:].sum()])
+    trie = Trie.build(contexts, sums, first, second, counts.astype(np.float64))
+    with pa.OSFile(str(tmp_path / "t"), "wb") as file:
+        trie.write(file)
+    trie = Trie.open(pa.memory_map(str(tmp_path / "t")))
+    asked = np.random.default_rng(3).permutation(n)
+    codes, over = trie.pairs(np.append(first[asked], 0), np.append(second[asked], np.uint64(7)))
+    values, want = value_coarse(codes, 0, over), counts[asked]
+    assert values[-1] == 0 and np.abs(values[:-1] / want - 1).max() < 0.035
+    assert np.array_equal(values[:-1][want >= 10**9], want[want >= 10**9])
+    assert np.abs(value_fine(code_fine(counts)) / counts - 1).max() < 2e-4
+    assert np.abs(value_fine(trie.mass) / sums - 1).max() < 2e-4
+
+
 def test_scores_match_a_plain_model(messy, no_docs):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     want = sorted((*w[:4], round(w[4], 6), w[5]) for w in lm_scores(rows))
