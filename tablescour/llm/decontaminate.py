@@ -1,18 +1,17 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming
-search, exact weighted-shingle similarity. DataFrame functions only.
+"""Benchmark passages in documents: windows of the items' sizes, found by the items' rarest
+shingles, exact weighted-shingle similarity. DataFrame functions only.
 
 Words are runs between ASCII white space, in lower case; features are five-word shingles
 (an item of fewer words is one shingle). A window has as many words as an item, so it is
-compared with items of that size only. A window that shares no shingle with an item of
-its size has similarity 0 to all of them, so windows begin as a shingle lookup: every
-start is taken whose window holds a shared shingle. A document shorter than an item is a
-window itself.
+compared with items of that size only. A document shorter than an item is a window itself.
 
-Each window and item has a 64-bit SimHash. Cut into ``RADIUS + 1`` blocks, two
-fingerprints within ``RADIUS`` agree in a block; windows and items are joined by (size,
-block, value), which finds all of them. The similarity of those pairs is the weighted
-Jaccard of their shingle multisets, by how few items hold a shingle; at least ``LIMIT`` is
-a match.
+The similarity is the weighted Jaccard of the shingle multisets, by how few items hold a
+shingle; at least ``LIMIT`` is a match. A match shares at least ``LIMIT`` of the item's
+weight, so it holds one of the item's rarest shingles that together weigh more than the
+rest allows to miss. Windows begin as a lookup of those: every start is taken whose window
+holds one. Pairs of a window and an item with such a shingle in common whose shared weight
+allows ``LIMIT`` are compared exactly. No step is left to chance, and shingles that many
+items share, as boilerplate, are not looked up unless an item has nothing rarer.
 
 Defined cases: null and empty texts and items match nothing; a null id is an id like any
 other; rows with equal ids are judged alone, by their own text; equal rows are all
@@ -22,18 +21,16 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescour.session import shared_dir
 
 WIDTH = 5
 LIMIT = 0.8
-RADIUS = 15
-BITS = 64
+EPSILON = 1e-9
 BROADCAST_ROWS = 200_000
 _BLANK = r"[\x20\x09-\x0D]+"
-_LANES = 0x0000000100000001
 
 
 def _hashed_words(text: str) -> Column:
@@ -54,36 +51,6 @@ def _shingles(words: str, width: int) -> Column:
     return F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<long>"))
 
 
-def _fingerprints(rows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
-    """(keys, print): bit ``k`` is set where most shingles have it.
-
-    Sums of two bits share a long, so a window may have 2**31 shingles."""
-    each = rows.select(*keys, F.explode(shingles).alias("h"))
-    sums = [
-        F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(BITS // 2)
-    ]
-    summed = each.groupBy(*keys).agg(F.count("*").alias("m"), *sums)
-    value = F.lit(0).cast("long")
-    for k in range(BITS // 2):
-        low = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("m")
-        high = F.shiftrightunsigned(f"s{k}", 32) * 2 > F.col("m")
-        value = value.bitwiseOR(F.when(low, F.lit(1 << k)).otherwise(F.lit(0)))
-        top = F.lit(-(1 << 63)) if k == 31 else F.lit(1 << (k + 32))
-        value = value.bitwiseOR(F.when(high, top).otherwise(F.lit(0).cast("long")))
-    return summed.select(*keys, value.alias("print"))
-
-
-def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, print, block, value): one row per block of the fingerprint."""
-    count, parts, start = RADIUS + 1, [], 0
-    for b in range(count):
-        size = (BITS - start) // (count - b)
-        part = F.shiftrightunsigned("print", start).bitwiseAND(F.lit((1 << size) - 1))
-        parts.append(F.struct(F.lit(b).alias("block"), part.alias("value")))
-        start += size
-    return rows.select(*keys, "print", F.explode(F.array(*parts)).alias("_b")).select(*keys, "print", "_b.*")
-
-
 def _bounded(df: DataFrame) -> DataFrame:
     """Broadcast where a count shows that it is small; else Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -109,12 +76,20 @@ def matches(
     for k in range(1, WIDTH):
         whole = F.when(F.col("size") == k, _shingles("words", k)).otherwise(whole)
     bench = stored("items", bench.withColumn("shingles", whole).drop("words"))
-    lookup = bench.select(F.explode("shingles").alias("h"), "size").distinct()
-    lookup = _bounded(stored("lookup", lookup))
     held = bench.select("item_id", F.explode(F.array_distinct("shingles")).alias("h")).distinct()
     n_items = bench.select("item_id").distinct().count()
     rarity = lambda df: F.ln(F.lit(1.0) + F.lit(float(max(n_items, 1))) / F.coalesce(df, F.lit(1)))
     weights = stored("weights", held.groupBy("h").agg(F.count("*").alias("items")))
+    masses = bench.select("item", "size", F.explode("shingles").alias("h")).groupBy("item", "size", "h").count()
+    masses = masses.join(_bounded(weights), "h").withColumn("mass", F.col("count") * rarity(F.col("items")))
+    each = Window.partitionBy("item")
+    ranked = each.orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    masses = masses.withColumns({"total": F.sum("mass").over(each), "upto": F.sum("mass").over(ranked)})
+    spare = F.lit(1 - limit) * F.col("total") * (1 + EPSILON)
+    lookup = masses.where(F.col("upto") - F.col("mass") <= spare).select("h", "size", "item")
+    lookup = _bounded(stored("lookup", lookup))
+    entries = masses.groupBy("item").agg(F.collect_list(F.struct("h", "mass")).alias("entries"), F.first("total").alias("total"))
+    entries = stored("entries", entries)
     widths = [r[0] for r in bench.select(F.least("size", F.lit(WIDTH))).distinct().collect()]  # at most WIDTH
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
@@ -122,8 +97,7 @@ def matches(
     for width in widths:
         found = keyed.select("doc_id", "text_hash", _hashed_words("text").alias("words"))
         found = found.select("doc_id", "text_hash", F.posexplode(_shingles("words", width)).alias("at", "h"))
-        sized = lookup.where(F.least("size", F.lit(WIDTH)) == width)
-        sized = F.broadcast(sized) if lookup.count() <= BROADCAST_ROWS else sized
+        sized = _bounded(lookup.where(F.least("size", F.lit(WIDTH)) == width).select("h", "size").distinct())
         found = found.join(sized, "h").groupBy("doc_id", "text_hash", "size").agg(F.collect_set("at").alias("at"))
         found = stored(f"hits{width}", found)
         sizes = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "at")).alias("hits"))
@@ -152,11 +126,11 @@ def matches(
             f"item_id {items.schema[item_col].dataType.simpleString()}, similarity double")
     windows = stored("windows", windows.withColumn("window", F.xxhash64("doc_id", "text_hash", "size", "start")))
 
-    asked = _blocks(_fingerprints(windows, ["window", "size"], "shingles"), ["window", "size"])
-    given = _blocks(_fingerprints(bench, ["item", "size"], "shingles"), ["item", "size"])
-    given = stored("given", given.withColumnRenamed("print", "item_print"))
-    pairs = asked.join(_bounded(given), ["size", "block", "value"])
-    pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    each = windows.select("window", "size", "shingles", F.explode(F.array_distinct("shingles")).alias("h"))
+    pairs = each.join(lookup, ["size", "h"]).join(_bounded(entries), "item")
+    shared = F.aggregate("entries", F.lit(0.0), lambda sum_, e: sum_ + F.when(
+        F.array_contains(F.col("shingles"), e["h"]), e["mass"]).otherwise(0.0))
+    pairs = pairs.where(shared >= F.lit(limit) * F.col("total") * (1 - EPSILON))
     pairs = stored("pairs", pairs.select("window", "item").distinct())
 
     left = pairs.join(windows.select("window", "shingles"), "window")

@@ -123,3 +123,19 @@ def test_leaks_are_those_of_all_windows(spark, leaking):
     assert kept.columns == table.columns and kept.count() == sum(not w for w in want.values())
     assert decontaminate.decontaminate(table, bench.limit(0)).where("kept").count() == len(docs)
     assert decontaminate.decontaminate(table.limit(0), bench).count() == 0
+
+
+def test_leaks_with_shared_boilerplate_and_changed_words(spark):
+    rng = random.Random(23)
+    make = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = make(29)
+    items = {i: shared + make(20) for i in range(60)} | {i: make(50) for i in range(60, 64)}
+    docs = [items[i][25:] for i in range(60)]  # all 20 own shingles, none of the 25 shared ones
+    docs += [items[i][:k] + ["changed"] + items[i][k + 1 :] for i in range(60, 64) for k in range(50)]
+    docs += [make(30) + items[60][:25] + ["changed"] + items[60][26:] + make(30), make(10) + shared + make(30)]
+    docs, items = [" ".join(d) for d in docs], [(i, " ".join(t)) for i, t in items.items()]
+    want = leaks(docs, items)
+    assert sum(map(bool, want.values())) > 250 and not want[len(docs) - 1]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = decontaminate.decontaminate(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids or [] for r in got} == {k: sorted(v) for k, v in want.items()}
