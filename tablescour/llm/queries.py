@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tablescour.llm import (
+    backtracking,
     decontaminate,
     derivatives,
     kneser_ney,
@@ -72,10 +73,20 @@ def op10_source_mix(spark, sf_dir):
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op11_bpe_round_trip(spark, sf_dir):
+    rows = backtracking.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_sequences, op2_language_model_scores, op3_word_piece_counts, op4_near_duplicates,
     op5_benchmark_decontamination, op6_exact_top_k, op7_warc_derivatives,
-    op8_personal_data, op9_quality_classifier, op10_source_mix,
+    op8_personal_data, op9_quality_classifier, op10_source_mix, op11_bpe_round_trip,
 )}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE: dict[str, str] = {
