@@ -309,7 +309,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def _pieces(data: np.ndarray, bounds: np.ndarray):
+def pieces(data: np.ndarray, bounds: np.ndarray):
     """(first row, row bounds) of runs of rows of about ``SLICE`` bytes; a longer row comes
     in several pieces that end at ASCII white space, if it has any there."""
     row, n = 0, len(bounds) - 1
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="text"
             codec = kept(("codec", vocabulary), lambda: Codec(vocabulary))
             data, bounds = text_bytes(batch.column(1))
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            for row, part in _pieces(data, bounds):
+            for row, part in pieces(data, bounds):
                 ids, counts = codec.encode(_strings(data, part))
                 text = codec.decode(ids) if decoded else np.zeros(0, np.uint8)
                 if part[0] != bounds[row] or part[-1] < bounds[row + 1]:  # a piece of one long row
