@@ -9,7 +9,7 @@ tree, and only words in those boxes are compared letter by letter.
 The upper levels of the trees are cells of a shuffle: every word is a member of one cell
 and is sent as a query to the other cells within reach. A task reads a cell's members,
 builds the tree's lower levels over them, and streams the queries through. Splits come
-from a sample of at most ``sample`` words (by hash); it decides only how words are spread.
+from a sample of about ``sample`` words (by hash); it decides only how words are spread.
 A pair of words is found in one cell alone, and what it says about each of the two words
 is summed up before it leaves the task.
 
@@ -354,8 +354,10 @@ def _trees(vocabulary: DataFrame, cell: int, sample: int) -> dict[int, Tree]:
     sizes = {r.length: r.n for r in many.collect()}
     if not sizes:
         return {}
-    some = vocabulary.join(F.broadcast(many.select("length")), length == F.col("length"), "left_semi")
-    chosen = [r.word for r in some.orderBy(F.xxhash64("word")).select("word").limit(sample).collect()]
+    # By a threshold on the hash, so that tasks send what is in the sample and no more.
+    one_in = -(-sum(sizes.values()) // sample)
+    some = vocabulary.where(length.isin(list(sizes)) & (F.pmod(F.xxhash64("word"), F.lit(one_in)) == 0))
+    chosen = [r.word for r in some.select("word").collect()]
     by_length = defaultdict(list)
     for word in chosen:
         by_length[len(word)].append(word)
@@ -374,7 +376,9 @@ def near_words(vocabulary: DataFrame, *, cell=CELL, sample=SAMPLE) -> DataFrame:
         _routed(trees), "length int, leaf int, role int, word string, n long"
     )
     key = ["length", "leaf"]
-    cells = cells.repartition(*key).sortWithinPartitions(*key, "role", F.char_length("word"))
+    # Few bytes but much work: with a given number, small partitions are not merged.
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, *key).sortWithinPartitions(*key, "role", F.char_length("word"))
     return cells.mapInArrow(_search, "word string, near string, near_n long, n_near long")
 
 
