@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescour.columns import ref
+from tablescour.columns import quoted, ref
 from tablescour.errors import CleanError
 from tablescour.sources.inventory import inventory, plain_path
+from tablescour.sources.records import spanning_records
 from tablescour.sources.snapshots import BLOCK, CORRUPT, FILE, PLACE
 
 
@@ -51,27 +52,26 @@ def scan(
 ) -> DataFrame:
     """Rows of equally shaped files: cells, their origin, and the raw text of bad rows.
 
-    Files whose quoted cells hold no line break are split among tasks; only the others
-    are read whole by one task each. Use inside :func:`csv_settings`.
+    Files are split among tasks; where quoted cells hold line breaks, records are cut out
+    first (:mod:`tablescour.sources.records`). Use inside :func:`csv_settings`.
     """
     if CORRUPT in names:
         raise CleanError("malformed_csv", f"'{CORRUPT}' is a reserved column name.")
+    options = dict(
+        sep=delimiter,
+        quote='"',
+        escape='"',
+        maxCharsPerColumn=-1,
+        maxColumns=max(20_480, 2 * len(names)),  # room for records longer than the header
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=CORRUPT,
+    )
+    if spans_lines:
+        return _scan_records(spark, paths, names, delimiter, encoding, options)
     fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
     rows = (
         spark.read.schema(T.StructType(fields))
-        .options(
-            header=True,
-            enforceSchema=True,
-            sep=delimiter,
-            encoding=encoding,
-            quote='"',
-            escape='"',
-            multiLine=spans_lines,
-            maxCharsPerColumn=-1,
-            maxColumns=max(20_480, 2 * len(names)),  # room for records longer than the header
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=CORRUPT,
-        )
+        .options(header=True, enforceSchema=True, encoding=encoding, **options)
         .csv(list(paths))
     )
     return rows.select(
@@ -83,6 +83,24 @@ def scan(
     )
 
 
+def _scan_records(spark, paths, names, delimiter, encoding, options) -> DataFrame:
+    """Rows of files whose records span lines; each record is parsed on its own."""
+    records = spanning_records(spark, paths, delimiter)
+    text = F.col("record").cast("string") if encoding == "UTF-8" else F.decode("record", encoding)
+    # By number: names may differ in case only, which fields of a struct may not.
+    cells = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{quoted(c)} string" for c in [*cells, CORRUPT])
+    options = {k: str(v) for k, v in options.items()} | {"multiLine": "true"}
+    parsed = F.from_csv(text, schema, options)
+    return records.withColumn("cells", parsed).select(
+        *[F.coalesce(F.col("cells").getField(c), F.lit("")).alias(n) for c, n in zip(cells, names)],
+        F.col("cells").getField(CORRUPT).alias(CORRUPT),
+        plain_path(F.col("path")).alias(FILE),
+        F.col("block").alias(BLOCK),
+        F.col("place").alias(PLACE),
+    )
+
+
 def ragged_records(rows: DataFrame) -> DataFrame:
     """(path, record): the rows of the wrong width as raw text."""
     return rows.filter(F.col(CORRUPT).isNotNull()).select(

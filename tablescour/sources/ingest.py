@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tablescour.columns import ROW
 from tablescour.errors import CleanError
 from tablescour.functions.canonical import to_canonical
-from tablescour.session import shared_dir
+from tablescour.session import remove, shared_dir
 from tablescour.sources.csvfiles import csv_settings, ragged_records, read_rows, scan
 from tablescour.sources.inventory import inventory
 from tablescour.sources.snapshots import (
@@ -18,9 +19,10 @@ from tablescour.sources.snapshots import (
     CORRUPT,
     FILE,
     PLACE,
+    labelled,
     read_snapshot,
     sorted_for_labels,
-    write_labels,
+    write_labelled,
     write_snapshot,
 )
 
@@ -33,22 +35,26 @@ def load_csv(
 ) -> DataFrame:
     """One table from CSV files, frozen under ``target`` and labelled in file order.
 
-    Rows of the wrong width reject the load (``malformed_csv``), or with
-    ``on_ragged="quarantine"`` go to ``<target>/quarantine`` as raw text and leave a gap
-    in the labels. The cells are read and written once.
+    Rows of the wrong width reject the load (``malformed_csv``) before ``target`` is
+    touched, or with ``on_ragged="quarantine"`` go to ``<target>/quarantine`` as raw text
+    and leave a gap in the labels. The files are parsed once, into a staged copy.
     """
     target = target or shared_dir(spark, "csv")
+    staged = shared_dir(spark, "staged")
     with csv_settings(spark):
-        read_rows(spark, paths).write.mode("overwrite").parquet(f"{target}/rows")
-    bad = ragged_records(spark.read.parquet(f"{target}/rows"))
+        read_rows(spark, paths).write.mode("overwrite").parquet(f"{staged}/rows")
+    bad = ragged_records(spark.read.parquet(f"{staged}/rows"))
     ragged = bad.count()
     if ragged and on_ragged == "reject":
+        remove(spark, staged)
         raise CleanError(
             "malformed_csv", f"{ragged} record(s) have the wrong number of fields.", records=ragged
         )
+    remove(spark, f"{target}/quarantine")
     if ragged:
         bad.write.mode("overwrite").parquet(f"{target}/quarantine")
-    write_labels(spark, target)
+    write_labelled(spark, staged, target)
+    remove(spark, staged)
     return read_snapshot(spark, target)
 
 
@@ -69,72 +75,87 @@ def load_table(df: DataFrame, target: str | None = None, order_by: Sequence[str]
 
 
 def ingest_many(spark: SparkSession, paths: Sequence[str] | str, root: str) -> DataFrame:
-    """Load many CSV files, each as its own dataset, with one scan per file layout.
+    """Load many CSV files, each as its own dataset, with one scan per shape of file.
+
+    Files of one delimiter, encoding and width are scanned together, whatever their
+    headers say; cells are stored by position below ``<root>/shape-N``, and
+    ``<root>/files`` tells each file's shape and names, which apply when it is read.
 
     Returns one row per file: path, filename, status (uploaded or failed), row_count,
     column_count, size_bytes, error_code and dataset (where its rows are). A file that
     fails does not hold up the others.
     """
-    listed = inventory(spark, paths).persist()
-    layouts = (
+    listed = _stored(inventory(spark, paths).withColumn("width", F.size("header")), f"{root}/inventory")
+    key = ["delimiter", "encoding", "width", "spans_lines"]
+    shapes = (
         listed.filter(F.col("error_code").isNull())
-        .groupBy("delimiter", "encoding", "header", "spans_lines")
-        .agg(F.collect_list("path").alias("paths"))
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        .orderBy(*key)
         .collect()
     )
-    counts = []
-    with csv_settings(spark):
-        for number, layout in enumerate(layouts):
-            folder = f"{root}/layout-{number}"
+    places, counts = [], []
+    for number, shape in enumerate(shapes):
+        staged, folder = shared_dir(spark, "staged"), f"{root}/shape-{number}"
+        with csv_settings(spark):
             rows = scan(
                 spark,
-                layout["paths"],
-                layout["header"],
-                layout["delimiter"],
-                layout["encoding"],
-                layout["spans_lines"],
+                shape["paths"],
+                [position(i) for i in range(shape["width"])],
+                shape["delimiter"],
+                shape["encoding"],
+                shape["spans_lines"],
             )
-            rows.write.mode("overwrite").parquet(f"{folder}/rows")
-            counts.append(
-                spark.read.parquet(f"{folder}/rows")
-                .groupBy(F.col(FILE).alias("path"))
-                .agg(
-                    F.count(F.lit(1)).alias("row_count"),
-                    F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
-                )
+            rows.write.mode("overwrite").parquet(f"{staged}/rows")
+        labelled(spark, staged, per_file=True).write.mode("overwrite").parquet(f"{folder}/rows")
+        remove(spark, staged)
+        places.append((*(shape[k] for k in key), folder))
+        counts.append(
+            spark.read.parquet(f"{folder}/rows")
+            .groupBy(F.col(FILE).alias("path"))
+            .agg(
+                F.count(F.lit(1)).alias("row_count"),
+                F.count_if(F.col(CORRUPT).isNotNull()).alias("ragged"),
             )
-    empty = "path string, row_count bigint, ragged bigint"
-    seen = spark.createDataFrame([], empty)
-    for part in counts:
-        seen = seen.unionByName(part)
-    places = [(p, f"{root}/layout-{n}") for n, lay in enumerate(layouts) for p in lay["paths"]]
-    datasets = spark.createDataFrame(places, "path string, dataset string")
-    ragged = F.coalesce(F.col("ragged") > 0, F.lit(False))
-    code = F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(ragged, "malformed_csv")
-    joined = listed.join(datasets, "path", "left").join(seen, "path", "left")
-    outcome = joined.select("*", code.alias("code"))
+        )
+    seen = reduce(
+        DataFrame.unionByName, counts, spark.createDataFrame([], "path string, row_count bigint, ragged bigint")
+    )
+    datasets = spark.createDataFrame(
+        places, "delimiter string, encoding string, width int, spans_lines boolean, folder string"
+    )
+    code = F.when(F.col("error_code").isNotNull(), F.col("error_code")).when(F.col("ragged") > 0, "malformed_csv")
+    joined = listed.join(F.broadcast(datasets), key, "left").join(seen, "path", "left")
     good = F.col("code").isNull()
-    return outcome.select(
+    files = joined.select("*", code.alias("code")).select(
         "path",
         "filename",
         F.when(good, "uploaded").otherwise("failed").alias("status"),
         F.when(good, F.coalesce("row_count", F.lit(0))).alias("row_count"),
-        F.when(good, F.size("header")).alias("column_count"),
+        F.when(good, F.col("width")).alias("column_count"),
         "size_bytes",
         F.col("code").alias("error_code"),
-        F.when(good, F.col("dataset")).alias("dataset"),
+        F.when(good, F.col("folder")).alias("dataset"),
+        "header",
     )
+    return _stored(files, f"{root}/files").drop("header")
 
 
-def ingested(spark: SparkSession, dataset: str, path: str) -> DataFrame:
-    """The labelled rows of one file that :func:`ingest_many` loaded."""
-    from pyspark.sql import Window as W
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def position(number: int) -> str:
+    """Name of a column that is known by its place only."""
+    return f"__cell_{number}"
+
+
+def ingested(spark: SparkSession, dataset: str, path: str) -> DataFrame:
+    """The labelled rows of one file that :func:`ingest_many` loaded, under its names."""
+    files = spark.read.parquet(f"{dataset.rsplit('/', 1)[0]}/files")
+    file = files.filter((F.col("path") == path) & (F.col("dataset") == dataset)).first()
+    if file is None:
+        raise CleanError("dataset_missing", f"No file '{path}' in '{dataset}'.", path=path)
     rows = spark.read.parquet(f"{dataset}/rows").filter(F.col(FILE) == path)
-    blocks = rows.groupBy(BLOCK).agg(F.min(PLACE).alias("first"), F.count(F.lit(1)).alias("n"))
-    so_far = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, W.currentRow)
-    starts = blocks.select(
-        BLOCK, (F.sum("n").over(so_far) - F.col("n") - F.col("first")).alias("shift")
-    )
-    names = [c for c in rows.columns if c not in (FILE, BLOCK, PLACE, CORRUPT)]
-    return rows.join(starts, BLOCK).select((F.col("shift") + F.col(PLACE)).alias(ROW), *names)
+    return rows.select(ROW, *[F.col(position(i)).alias(name) for i, name in enumerate(file["header"])])

@@ -27,11 +27,12 @@ TEXTUAL_BYTES = 8192
 UNDEFINED_CP1252 = "^(?:..)*?(?:81|8D|8F|90|9D)"
 
 _HEAD_BYTES = 4 * SNIFFED_CHARS
-# A header record longer than this is taken for a quote that is never closed.
 MOST_HEAD_BYTES = 1 << 26
 # A whole record after any blank lines: quoted parts may hold line ends.
 _RECORD = re.compile(rb'\s*(?=\S)[^"\r\n]*(?:"[^"]*"[^"\r\n]*)*[\r\n]')
-_HEAD_SCHEMA = "path string, kind string, delimiter string, header array<string>"
+_HEAD_SCHEMA = (
+    "path string, kind string, delimiter string, header array<string>, delimiter_1252 string, header_1252 array<string>"
+)
 
 
 def sniff_kind(head: bytes) -> str:
@@ -49,7 +50,7 @@ def sniff_delimiter(sample: str) -> str:
         return ","
 
 
-def _read_head(path: str) -> bytes:
+def _read_head(path: str, most: int) -> bytes:
     """The start of a file, at least as far as its first record reaches.
 
     Reading goes on while the text has no line end outside quotes after its first cell.
@@ -62,7 +63,7 @@ def _read_head(path: str) -> bytes:
         filesystem, name = fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe="/:@"))
     with filesystem.open_input_stream(name) as stream:
         head = stream.read(_HEAD_BYTES)
-        while len(head) < MOST_HEAD_BYTES and not _RECORD.match(head):
+        while len(head) < most and not _RECORD.match(head):
             more = stream.read(len(head))
             if not more:
                 break
@@ -70,26 +71,34 @@ def _read_head(path: str) -> bytes:
         return head
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            head = _read_head(path)
-            kind = sniff_kind(head)
-            delimiter, header = None, None
-            if kind == "text" and head.strip():
-                try:
-                    sample = head.decode("utf-8-sig")
-                except UnicodeDecodeError as error:
-                    # A character cut at the end of the head is no error.
-                    cut = len(head) >= _HEAD_BYTES and error.start > len(head) - 8
-                    good = head[: error.start] if cut else head
-                    sample = good.decode("utf-8-sig" if cut else "cp1252", errors="replace")
-                delimiter = sniff_delimiter(sample)
-                records = csv.reader(io.StringIO(sample), delimiter=delimiter)
-                header = normalize_header(next((r for r in records if r), []))
-            rows.append((path, kind, delimiter, header))
-        yield pd.DataFrame(rows, columns=["path", "kind", "delimiter", "header"])
+def _layout(sample: str) -> tuple[str, list[str]]:
+    """Delimiter and column names of a file by its first characters."""
+    delimiter = sniff_delimiter(sample)
+    records = csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter)
+    return delimiter, normalize_header(next((r for r in records if r), []))
+
+
+def _heads(most: int):
+    """Kind of each file, and its layout read in both encodings: which of them the file
+    has is only known from all its lines."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                head = _read_head(path, most)
+                kind = sniff_kind(head)
+                if kind == "text" and head.strip():
+                    # A character may be cut at the end of the head; others are wrong only
+                    # where the other layout counts.
+                    utf8 = _layout(head.decode("utf-8-sig", errors="replace"))
+                    cp1252 = utf8 if head.isascii() else _layout(head.decode("cp1252", errors="replace"))
+                    rows.append((path, kind, *utf8, *cp1252))
+                else:
+                    rows.append((path, kind, None, None, None, None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _HEAD_SCHEMA.split(", ")])
+
+    return run
 
 
 def plain_local(path: Column) -> Column:
@@ -125,10 +134,17 @@ def line_checks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def inventory(
-    spark: SparkSession, paths: Sequence[str] | str, max_bytes: int | None = None
+    spark: SparkSession,
+    paths: Sequence[str] | str,
+    max_bytes: int | None = None,
+    most_head_bytes: int = MOST_HEAD_BYTES,
 ) -> DataFrame:
     """One row per file: path, filename, extension, size_bytes, kind, encoding, delimiter,
-    header, spans_lines, status and error_code (NULL when it can be loaded)."""
+    header, spans_lines, status and error_code (NULL when it can be loaded).
+
+    A first record longer than ``most_head_bytes`` is taken for a quote that is never
+    closed.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     # The content column is not read: this lists names and sizes only. Scans skip empty
     # files, which the listing of the reader still names.
@@ -136,7 +152,7 @@ def inventory(
     files = listing.select("path", F.col("length").alias("size_bytes"))
     named = spark.createDataFrame([(p,) for p in listing.inputFiles()], "path string")
     named = named.withColumn("path", plain_path(F.col("path")))
-    heads = files.select("path").mapInPandas(_heads, _HEAD_SCHEMA)
+    heads = files.select("path").mapInPandas(_heads(most_head_bytes), _HEAD_SCHEMA)
     checks = line_checks(spark, paths).withColumn("path", plain_path(F.col("path")))
     files = files.withColumn("path", plain_local(F.col("path")))
     heads = heads.withColumn("path", plain_local(F.col("path")))
@@ -167,8 +183,8 @@ def inventory(
         "size_bytes",
         F.coalesce("kind", F.lit("text")).alias("kind"),
         F.when(F.col("utf8"), "UTF-8").when(~F.col("utf8"), "windows-1252").alias("encoding"),
-        "delimiter",
-        "header",
+        F.when(F.col("utf8"), F.col("delimiter")).otherwise(F.col("delimiter_1252")).alias("delimiter"),
+        F.when(F.col("utf8"), F.col("header")).otherwise(F.col("header_1252")).alias("header"),
         F.coalesce("spans_lines", F.lit(False)).alias("spans_lines"),
         F.when(error.isNull(), "accepted").otherwise("failed").alias("status"),
         error.alias("error_code"),

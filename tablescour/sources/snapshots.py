@@ -1,9 +1,9 @@
 """Frozen Parquet copies of a table, with contiguous row labels.
 
-Row order is a property of the written files: each row keeps its source (file and block,
-or sort partition) and its place in the writing task. Labels follow at read time from a
-small table of running totals, one row per source block, so nothing is sorted globally
-and a lost executor cannot change them.
+Rows without labels are staged once with their source (file and block, or sort partition)
+and their place in the writing task. A small table of running totals, one row per source
+block, gives every row its label while the frozen copy is written; nothing is sorted
+globally, and a lost executor cannot change a label. Reading a snapshot is a plain scan.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tablescour.columns import ROW, data_columns, ref
 from tablescour.errors import CleanError
+from tablescour.session import remove, shared_dir
 
-# Where a row came from; written with unlabelled rows and dropped when they are read.
+# Where a row came from; staged with unlabelled rows and left out of the frozen copy.
 FILE, BLOCK, PLACE = "__file", "__block", "__place"
 # Raw text of a record that does not fit the columns; such rows are no data.
 CORRUPT = "__corrupt"
@@ -42,40 +43,53 @@ def sorted_for_labels(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Write rows (labelled, or tagged with their origin) and the label totals."""
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    if ROW not in df.columns:
-        write_labels(df.sparkSession, path)
-
-
-def write_labels(spark: SparkSession, path: str) -> None:
-    """Running totals of the rows already written; reads two narrow columns."""
-    rows = spark.read.parquet(f"{path}/rows")
+    """Write rows that are labelled, or tagged with their origin."""
+    if ROW in df.columns:
+        df.write.mode("overwrite").parquet(f"{path}/rows")
+        return
+    spark = df.sparkSession
+    staged = shared_dir(spark, "staged")
+    df.write.mode("overwrite").parquet(f"{staged}/rows")
+    write_labelled(spark, staged, path)
+    remove(spark, staged)
+
+
+def labelled(spark: SparkSession, staged: str, per_file: bool = False) -> DataFrame:
+    """Staged rows with their labels in place of block and place; files keep their name.
+
+    The running totals are written first, so that Spark knows their size and decides by it
+    whether to broadcast them. Labels follow each other over all files by name, or with
+    ``per_file`` begin anew in each file.
+    """
+    rows = spark.read.parquet(f"{staged}/rows")
     blocks = rows.groupBy(FILE, BLOCK).agg(
         F.min(PLACE).alias("first_place"), F.count(F.lit(1)).alias("n")
     )
-    # Labels restart per file set, not per file: files follow each other by name.
-    so_far = W.orderBy(FILE, BLOCK).rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy(FILE).orderBy(BLOCK) if per_file else W.orderBy(FILE, BLOCK)
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = blocks.select(
         FILE, BLOCK, (F.sum("n").over(so_far) - F.col("n") - F.col("first_place")).alias("shift")
     )
-    starts.write.mode("overwrite").parquet(f"{path}/labels")
+    starts.write.mode("overwrite").parquet(f"{staged}/starts")
+    starts = spark.read.schema(starts.schema).parquet(f"{staged}/starts")
+    names = [c for c in rows.columns if c not in _ORIGIN]
+    label = (F.col("shift") + F.col(PLACE)).alias(ROW)
+    return rows.join(starts, [FILE, BLOCK]).select(label, FILE, *[ref(c) for c in names])
+
+
+def write_labelled(spark: SparkSession, staged: str, path: str) -> None:
+    """Freeze staged rows under ``path``; rows that are no data leave a gap in the labels."""
+    rows = labelled(spark, staged).drop(FILE)
+    if CORRUPT in rows.columns:
+        rows = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     try:
-        rows = spark.read.parquet(f"{path}/rows")
-        if ROW in rows.columns:
-            return rows
-        labels = spark.read.parquet(f"{path}/labels")
+        return spark.read.parquet(f"{path}/rows")
     except AnalysisException as error:
         raise CleanError("dataset_missing", f"No dataset at '{path}'.", path=path) from error
-    # No broadcast hint: Spark knows the size of the label files and decides.
-    if CORRUPT in rows.columns:
-        rows = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    joined = rows.join(labels, [FILE, BLOCK])
-    names = [c for c in rows.columns if c not in _ORIGIN]
-    return joined.select((F.col("shift") + F.col(PLACE)).alias(ROW), *[ref(c) for c in names])
 
 
 def read_parquet(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
