@@ -28,24 +28,20 @@ def key_columns(df: DataFrame, config: DedupeConfig) -> list[str]:
 def with_copies(df: DataFrame, config: DedupeConfig) -> DataFrame:
     """One row per key, plus ``__copies``: how many rows shared it.
 
-    This is a plain aggregate: rows of a hot key (missing keys are equal to each other)
-    meet in the map-side combine, so a key costs one row per task in the shuffle.
+    First the label of each key's row and its copies are counted, by digests of the keys:
+    a hash aggregate of small rows, where rows of a hot key (missing keys are equal to each
+    other) meet in the map-side combine. Then the kept labels choose the rows, so no whole
+    row is sorted by its key or carried through the aggregate.
     """
     keys = key_columns(df, config)
-    others = [c for c in data_columns(df) if c not in keys]
-    grouped = df.groupBy(*[ref(k) for k in keys])
-    copies = F.count(F.lit(1)).alias(COPIES)
-    if not others:
-        pick = F.min if config.keep == "first" else F.max
-        out = grouped.agg(pick(ROW).alias(ROW), copies)
+    pick = F.min if config.keep == "first" else F.max
+    kept = [pick(ROW).alias(ROW), F.count(F.lit(1)).alias(COPIES)]
+    if not [c for c in data_columns(df) if c not in keys]:
+        out = df.groupBy(*[ref(k) for k in keys]).agg(*kept)
         return out.select(*[ref(c) for c in df.columns], COPIES)
-    pick = F.min_by if config.keep == "first" else F.max_by
-    payload = F.struct(*[ref(c) for c in others], ref(ROW))
-    out = grouped.agg(pick(payload, ROW).alias("__kept"), copies)
-    kept = [
-        ref(c) if c in keys else F.col("__kept").getField(c).alias(c) for c in df.columns
-    ]
-    return out.select(*kept, COPIES)
+    chosen = df.select(row_digest(keys).alias("__key"), ROW).groupBy("__key").agg(*kept)
+    rows = df.join(chosen.select(ROW, COPIES), ROW)
+    return rows.select(*[ref(c) for c in df.columns], COPIES)
 
 
 def deduplicate(df: DataFrame, config: DedupeConfig) -> DataFrame:

@@ -16,6 +16,9 @@ from tablescour.functions.dates import with_parsed_dates
 from tablescour.plans.spec import Rule
 
 SAMPLES = 5
+# Larger sets of allowed values are joined as a table instead of written into the plan.
+MOST_LITERALS = 500
+MOST_BROADCAST_BYTES = 64 << 20
 _checked_patterns: set[str] = set()
 
 
@@ -52,10 +55,24 @@ def _prepared(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if numbers:
         made = {f"__number_of_{c}": evaluated_once(text.number(ref(c))) for c in numbers}
         out = out.withColumns(made)
+    for i, rule in enumerate(rules):
+        if _is_joined(rule):
+            out = out.join(_listed(df, rule, i), ref(rule.column) == F.col(f"__listed_{i}"), "left")
     return out
 
 
-def _bad(rule: Rule) -> Column:
+def _is_joined(rule: Rule) -> bool:
+    return rule.rule == "allowed_values" and len(rule.values) > MOST_LITERALS
+
+
+def _listed(df: DataFrame, rule: Rule, number: int) -> DataFrame:
+    """The allowed values, each once, as a table; broadcast where the list is small."""
+    values = list(dict.fromkeys(str(v) for v in rule.values))
+    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"__listed_{number} string")
+    return F.broadcast(listed) if sum(map(len, values)) <= MOST_BROADCAST_BYTES else listed
+
+
+def _bad(rule: Rule, number: int) -> Column:
     value = ref(rule.column)
     if rule.rule == "required":
         return is_missing(value)
@@ -79,6 +96,8 @@ def _bad(rule: Rule) -> Column:
         wrong = ref(f"__date_of_{rule.column}").isNull()
     elif rule.rule == "regex":
         wrong = ~value.rlike(patterns.java_full(rule.pattern))
+    elif _is_joined(rule):
+        wrong = F.col(f"__listed_{number}").isNull()
     else:
         wrong = ~value.isin([str(v) for v in rule.values])
     return F.coalesce(is_present(value) & wrong, F.lit(False))
@@ -109,7 +128,7 @@ def _reason(rule: Rule) -> Column:
 def flagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The frame plus one boolean ``__bad_<i>`` per rule (never NULL)."""
     check(df, rules)
-    flags = [_bad(r).alias(f"__bad_{i}") for i, r in enumerate(rules)]
+    flags = [_bad(r, i).alias(f"__bad_{i}") for i, r in enumerate(rules)]
     return _prepared(df, rules).select("*", *flags)
 
 

@@ -64,8 +64,10 @@ class RunLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def record(self, dataset_id: str, kind: str, summary: dict, status: str = "success") -> str:
-        run_id = uuid.uuid4().hex
+    def record(
+        self, dataset_id: str, kind: str, summary: dict, status: str = "success", run_id: str | None = None
+    ) -> str:
+        run_id = run_id or uuid.uuid4().hex
         now = datetime.datetime.now(datetime.timezone.utc)
         row = (run_id, dataset_id, kind, status, json.dumps(summary, ensure_ascii=False), now)
         one = self.spark.createDataFrame([row], SCHEMA).coalesce(1)
@@ -78,6 +80,9 @@ class RunLog:
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMA)
 
+    def holds(self, run_id: str) -> bool:
+        return not self.table().filter(F.col("run_id") == run_id).isEmpty()
+
     def history(self, dataset_id: str | None = None, kind: str | None = None) -> DataFrame:
         return history(self.table(), dataset_id, kind)
 

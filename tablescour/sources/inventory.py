@@ -182,7 +182,7 @@ def inventory(
         "extension",
         "size_bytes",
         F.coalesce("kind", F.lit("text")).alias("kind"),
-        F.when(F.col("utf8"), "UTF-8").when(~F.col("utf8"), "windows-1252").alias("encoding"),
+        F.when(F.col("kind") == "text", F.when(F.col("utf8"), "UTF-8").when(~F.col("utf8"), "windows-1252")).alias("encoding"),
         F.when(F.col("utf8"), F.col("delimiter")).otherwise(F.col("delimiter_1252")).alias("delimiter"),
         F.when(F.col("utf8"), F.col("header")).otherwise(F.col("header_1252")).alias("header"),
         F.coalesce("spans_lines", F.lit(False)).alias("spans_lines"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablescour.operators.match import EXACT, SYNONYM, SYNONYMS, TARGETS, plain_name
 from tablescour.suite.queries import CUSTOMER_RULES, ORDER_RULES
 from tablescour.suite.views import VIEWS, view_sql, with_views
 
@@ -419,11 +420,22 @@ ORACLE["export_roundtrip_csv"] = (
     f"FROM ({view_sql('document_rows')})"
 )
 ORACLE["export_one_column"] = """
-    SELECT CASE doc_id % 3 WHEN 1 THEN coalesce(text, '') ELSE '' END AS text FROM documents"""
+    SELECT coalesce(text, '') AS text FROM documents UNION ALL SELECT '' FROM documents"""
+ORACLE["csv_multiline"] = """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(replace(text, ' ', chr(10)), '') AS text, coalesce(lang, '') AS lang
+    FROM documents"""
 ORACLE["csv_wide_header"] = """
-    SELECT DISTINCT repeat('the_status_of_the_orders_with_number_', 5) || lpad(CAST(o_orderkey % 400 AS VARCHAR), 6, '0') AS name,
-           lpad(CAST(o_orderkey % 400 AS VARCHAR), 6, '0') AS cell
+    SELECT repeat('the_number_of_the_orders_with_remainder_', 30) || lpad(CAST(o_orderkey % 64 AS VARCHAR), 2, '0') AS name,
+           CAST(o_orderkey AS VARCHAR) AS cell
     FROM orders"""
+ORACLE["inventory_files"] = """
+    SELECT * FROM (VALUES
+        ('semicolon', 'csv', 'text', 'UTF-8', ';', 'cust_nm/mail/ph_no/age/status', 'accepted', NULL, false),
+        ('western', 'csv', 'text', 'windows-1252', chr(9), 'user/café/on_day/props', 'accepted', NULL, false),
+        ('breaks', 'csv', 'text', 'UTF-8', ',', 'source/text', 'accepted', NULL,
+            (SELECT bool_or(contains(text, chr(10))) FROM documents)),
+        ('other', 'parquet', 'binary', NULL, NULL, NULL, 'failed', 'unsupported_file_type', false)
+    ) t(folder, extension, kind, encoding, delimiter, header, status, error_code, spans_lines)"""
 ORACLE["export_roundtrip_json"] = (
     f"SELECT {', '.join(_order_columns)} FROM ({view_sql('dirty_orders')})"
 )
@@ -464,5 +476,63 @@ ORACLE["match_spellings"] = """
       ('total_paid_', 'amount', 0, 1.0, true), ('my_city_', 'city', 0, 1.0, true))
       AS t(spelling, target, matched, letters, part)"""
 ORACLE["val_regex_class"] = r"""
-    SELECT doc_id + 1 AS row, word AS value FROM (SELECT doc_id, string_split(text, ' ')[1] AS word FROM documents)
+    SELECT doc_id + 1 AS row, word AS value FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
     WHERE word <> '' AND NOT regexp_full_match(word, '[A-Za-z&\[.,]+s?')"""
+_KNOWN = ", ".join(
+    f"({place}, '{target}', '{plain}', {EXACT if i == 0 else SYNONYM})"
+    for place, target in enumerate(TARGETS)
+    for i, plain in enumerate(plain_name(n) for n in [target, *SYNONYMS[target]])
+)
+_LETTER_COUNTS = (
+    "list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), lambda c: len({v}) - len(replace({v}, c, '')))"
+)
+# A block as one number: its size, then the earlier place in ``a`` first.
+_BLOCK = (
+    "list_max(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) - i + 2), "
+    "lambda n: CASE WHEN contains(b, substr(a, i, n)) THEN n * 10000 + 9999 - i END))))"
+)
+ORACLE["match_columns"] = rf"""
+    WITH RECURSIVE known(place, target, name, score) AS (VALUES {_KNOWN}
+    ), words AS (
+        SELECT DISTINCT 'documents' AS "table", unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS "column" FROM documents
+        UNION SELECT 'part', unnest(regexp_split_to_array(lower(p_name), '[^\p{{L}}\p{{N}}_]+')) FROM part
+    ), named AS (
+        SELECT *, regexp_replace(lower("column"), '[^a-z0-9]+', '', 'g') AS plain FROM words WHERE "column" <> ''
+    ), direct AS (
+        SELECT name AS plain, target, score,
+               CASE score WHEN 1.0 THEN 'exact name match' ELSE concat('known synonym of ', chr(39), target, chr(39)) END AS rationale
+        FROM known QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, place) = 1
+    ), rest AS (
+        SELECT plain, {_LETTER_COUNTS.format(v="plain")} AS counts
+        FROM (SELECT DISTINCT plain FROM named WHERE plain NOT IN (SELECT name FROM known))
+    ), candidates AS (SELECT *, {_LETTER_COUNTS.format(v="name")} AS counts FROM known
+    ), pairs AS (
+        SELECT rest.plain, place, target, name, row_number() OVER () AS pair
+        FROM rest JOIN candidates ON 8 * least(len(plain), len(name)) >= 3 * (len(plain) + len(name))
+        WHERE 8 * list_sum(list_transform(range(1, 37), lambda i: least(rest.counts[i], candidates.counts[i]))) >= 3 * (len(plain) + len(name))
+    ), blocks AS (
+        SELECT pair, a, b, {_BLOCK} AS best FROM (SELECT pair, plain AS a, name AS b FROM pairs)
+        UNION ALL
+        SELECT pair, a, b, {_BLOCK} FROM (
+            SELECT pair, unnest([substr(a, 1, i - 1), substr(a, i + n)]) AS a, unnest([substr(b, 1, j - 1), substr(b, j + n)]) AS b
+            FROM (SELECT pair, a, b, i, n, instr(b, substr(a, i, n)) AS j
+                  FROM (SELECT pair, a, b, 9999 - best % 10000 AS i, best // 10000 AS n FROM blocks WHERE best IS NOT NULL))
+        ) WHERE a <> '' AND b <> ''
+    ), near AS (
+        SELECT plain, target, 2.0 * matched / (len(plain) + len(name)) AS near
+        FROM pairs JOIN (SELECT pair, sum(best // 10000) AS matched FROM blocks GROUP BY 1) USING (pair)
+        WHERE 8 * matched >= 3 * (len(plain) + len(name))
+        QUALIFY row_number() OVER (PARTITION BY plain ORDER BY near DESC, place) = 1
+    ), parts AS (
+        SELECT plain, target FROM rest JOIN known ON len(name) >= 4 AND (contains(plain, name) OR contains(name, plain))
+        QUALIFY row_number() OVER (PARTITION BY plain ORDER BY place) = 1
+    ), scored AS (
+        SELECT * FROM direct
+        UNION ALL SELECT plain, target, near * 0.9, printf('name similarity %.2f', near) FROM near
+        UNION ALL SELECT plain, target, 0.6, 'substring name match' FROM parts WHERE plain NOT IN (SELECT plain FROM near)
+    )
+    SELECT "table", "column", target, round(CAST(score AS DOUBLE), 2) AS confidence, rationale, 'heuristic' AS provider
+    FROM named JOIN scored USING (plain)"""
+ORACLE["val_allowed_large"] = f"""
+    SELECT 'allowed_values' AS rule, _row + 1 AS row, order_id AS value, 'value is not in the allowed set' AS reason
+    FROM ({view_sql('dirty_orders')}) WHERE CAST(order_id AS BIGINT) % 2 = 1 OR CAST(order_id AS BIGINT) >= 200000"""

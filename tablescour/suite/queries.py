@@ -16,6 +16,7 @@ from tablescour.plans.spec import DedupeConfig, NormalizeConfig, RenameConfig, R
 from tablescour.session import shared_dir, tune
 from tablescour.sinks import export as sinks
 from tablescour.sources import ingest
+from tablescour.sources.inventory import inventory
 from tablescour.sources.snapshots import read_parquet
 from tablescour.suite.views import table, view
 
@@ -133,13 +134,19 @@ _add("val_regex_documents", _failures("document_rows", Rule("text", "regex", pat
 
 @query
 def val_regex_class(spark, sf):
-    """Rows whose text a pattern with ``[`` and ``&&`` in a class does not match."""
+    """Words of all texts that a pattern with ``[`` and ``&&`` in a class does not match."""
     rows = table(spark, sf, "documents").select(
-        F.col("doc_id").alias(ROW), F.element_at(F.split("text", " "), 1).alias("word")
+        F.col("doc_id").alias(ROW), F.explode(F.split("text", " ")).alias("word")
     )
     return validate.failures(rows, [Rule("word", "regex", pattern=r"(?P<a_b>[A-Za-z&&[.,]+)(?P<ab>s?)")]).select("row", "value")
 
 
+_add(
+    "val_allowed_large",
+    _failures("dirty_orders", Rule("order_id", "allowed_values", values=[str(2 * k) for k in range(100_000)])),
+)
+
+
 @query
 def val_summary(spark, sf):
     return validate.summarize(view(spark, sf, "dirty_customer"), CUSTOMER_RULES)
@@ -428,26 +435,56 @@ def export_roundtrip_csv(spark, sf):
 
 @query
 def export_one_column(spark, sf):
-    """Texts alone in their rows, every third one empty: no row may get lost."""
+    """All texts alone in their rows, and after each an empty one: no row may get lost."""
     path = shared_dir(spark, "export")
-    rows = view(spark, sf, "document_rows")
-    text = F.when(F.col(ROW) % 3 == 0, "").when(F.col(ROW) % 3 == 1, F.col("text")).alias("text")
-    sinks.export(rows.select(ROW, text), "csv", path, guard_formulas=False)
+    rows = view(spark, sf, "document_rows").select((2 * F.col(ROW)).alias(ROW), "text")
+    empty = rows.select((F.col(ROW) + 1).alias(ROW), F.lit("").alias("text"))
+    sinks.export(rows.unionByName(empty), "csv", path, guard_formulas=False)
     return ingest.load_csv(spark, f"{path}/*.csv").drop(ROW)
 
 
+@query
+def csv_multiline(spark, sf):
+    """Texts with a line end in place of each space, in files that are cut into blocks."""
+    folder = shared_dir(spark, "multiline")
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.replace(F.col("text"), F.lit(" "), F.lit("\n")).alias("text"), "lang"
+    )
+    rows.write.csv(f"{folder}/csv", header=True, quote='"', escape='"', nullValue="", emptyValue="",
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return ingest.load_csv(spark, f"{folder}/csv/*.csv").drop(ROW)
+
+
 @query
 def csv_wide_header(spark, sf):
-    """One column per order, with names that make the header longer than a first read."""
-    folder = shared_dir(spark, "wide")
-    orders = table(spark, sf, "orders").select((F.col("o_orderkey") % 400).alias("k")).distinct()
-    numbers = [r.k for r in orders.orderBy("k").collect()]  # at most 400: they become columns
-    header = ",".join(f"{'the_status_of_the_orders_with_number_' * 5}{k:06d}" for k in numbers)
-    cells = F.array_join(F.sort_array(F.collect_list(F.lpad(F.col("k").cast("string"), 6, "0"))), ",")
-    orders.agg(cells.alias(header)).coalesce(1).write.csv(f"{folder}/csv", header=True, sep="\x01", quote="")
+    """All orders in columns whose names make the header longer than a first read."""
+    folder, width = shared_dir(spark, "wide"), 64
+    names = [f"{'the_number_of_the_orders_with_remainder_' * 30}{k:02d}" for k in range(width)]
+    place = F.col("o_orderkey") % width
+    cells = [F.when(place == k, F.col("o_orderkey").cast("string")).otherwise("") for k in range(width)]
+    lines = table(spark, sf, "orders").select(F.concat_ws(",", *cells).alias(",".join(names)))
+    lines.write.csv(f"{folder}/csv", header=True, sep="\x01", quote="")
     loaded = ingest.load_csv(spark, f"{folder}/csv/*.csv").drop(ROW)
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in loaded.columns])
-    return loaded.select(F.inline(pairs))
+    return loaded.select(F.inline(F.filter(pairs, lambda p: p["cell"] != "")))
+
+
+@query
+def inventory_files(spark, sf):
+    """What the files of four tables hold, each table in a layout and encoding of its own."""
+    folder = shared_dir(spark, "inventory")
+    customers, events = view(spark, sf, "dirty_customer").drop(ROW), view(spark, sf, "event_rows").drop(ROW)
+    customers.write.csv(f"{folder}/semicolon", header=True, sep=";")
+    events.withColumnRenamed("kind", "caf\u00e9").write.csv(f"{folder}/western", header=True, sep="\t", encoding="iso-8859-1")
+    view(spark, sf, "document_rows").select("source", "text").write.csv(f"{folder}/breaks", header=True, escape='"')
+    table(spark, sf, "nation").select("n_nationkey").write.parquet(f"{folder}/other")
+    found = inventory(spark, [f"{folder}/*/*.csv", f"{folder}/other/*.parquet"])
+    return found.select(
+        F.element_at(F.split("path", "/"), -2).alias("folder"), "extension", "kind", "encoding", "delimiter",
+        F.array_join("header", "/").alias("header"), "spans_lines", "status", "error_code",
+    ).groupBy("folder", "extension", "kind", "encoding", "delimiter", "header", "status", "error_code").agg(
+        F.bool_or("spans_lines").alias("spans_lines")
+    )
 
 
 @query
@@ -555,6 +592,4 @@ def match_known_names(spark, sf):
         F.element_at(spellings, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("column"),
     )
     found = match.suggest(files, ["customer_name", "email", "phone", "order_id", "city"])
-    return found.filter(F.col("confidence") >= 0.95).select(
-        "table", "column", "target", "confidence"
-    )
+    return found.select("table", "column", "target", "confidence")
