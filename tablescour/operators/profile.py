@@ -79,10 +79,10 @@ def _asked_for(*columns: Column | str) -> Column:
     return out
 
 
-def _classified(hist: DataFrame) -> DataFrame:
+def _classified(hist: DataFrame, reference_year: int | None) -> DataFrame:
     """Type predicates per distinct value, each evaluated once however often it occurs."""
     short = F.when(~F.col("long"), F.col("key"))
-    staged = with_parsed_dates(hist.withColumn("__short", short), {"stamp": "__short"})
+    staged = with_parsed_dates(hist.withColumn("__short", short), {"stamp": "__short"}, reference_year=reference_year)
     bits = F.when(F.col("long"), F.col("bits")).otherwise(_bits(F.col("key")))
     return staged.select(
         *[c for c in hist.columns if c != "bits"],
@@ -172,9 +172,12 @@ def _detected_type() -> Column:
     )
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, reference_year: int | None = None) -> DataFrame:
     """One row per column: pos, name, detected_type, row_count, null_count,
-    unique_count, sample_values, invalid_count (emails and dates only)."""
+    unique_count, sample_values, invalid_count (emails and dates only).
+
+    Two-digit years lie within 50 years of ``reference_year``, or of the year of the run.
+    """
     hist = histogram(df)
     heads = _first_values(hist)
     names = df.sparkSession.createDataFrame(
@@ -182,7 +185,7 @@ def profile(df: DataFrame) -> DataFrame:
     )
     detected = F.col("detected_type")
     return (
-        names.join(_column_sums(_classified(hist)), "pos", "left")
+        names.join(_column_sums(_classified(hist, reference_year)), "pos", "left")
         .join(_sample_values(df, heads), "pos", "left")
         .withColumn("detected_type", _detected_type())
         .select(
@@ -225,11 +228,13 @@ def null_share(counts: DataFrame) -> DataFrame:
     return counts.select("pos", "name", F.when(F.col("row_count") > 0, share).otherwise(0).alias("null_pct"))
 
 
-def quality_metrics(df: DataFrame, original: DataFrame | None = None) -> DataFrame:
+def quality_metrics(
+    df: DataFrame, original: DataFrame | None = None, reference_year: int | None = None
+) -> DataFrame:
     """The report's totals as (metric, value) rows."""
     columns = len(data_columns(df))
     bad = F.coalesce(F.col("invalid_count"), F.lit(0))
-    sums = profile(df).agg(
+    sums = profile(df, reference_year).agg(
         F.coalesce(F.max("row_count"), F.lit(0)).alias("total_rows"),
         F.lit(columns).cast("bigint").alias("total_columns"),
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("null_cells_total"),

@@ -49,9 +49,11 @@ def check(df: DataFrame, rules: Sequence[Rule]) -> None:
 
 def _prepared(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add parsed dates and numbers once per column, however many rules read them."""
-    dates = dict.fromkeys(r.column for r in rules if r.rule == "date")
+    dates = dict.fromkeys((r.reference_year, r.column) for r in rules if r.rule == "date")
     numbers = dict.fromkeys(r.column for r in rules if r.rule == "numeric_range")
-    out = with_parsed_dates(df, {f"__date_of_{c}": c for c in dates})
+    out = df
+    for year in dict.fromkeys(y for y, _ in dates):
+        out = with_parsed_dates(out, {_date_of(c, year): c for y, c in dates if y == year}, reference_year=year)
     if numbers:
         made = {f"__number_of_{c}": evaluated_once(text.number(ref(c))) for c in numbers}
         out = out.withColumns(made)
@@ -61,6 +63,10 @@ def _prepared(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return out
 
 
+def _date_of(column: str, year: int | None) -> str:
+    return f"__date_of_{column}" if year is None else f"__date_of_{year}_{column}"
+
+
 def _is_joined(rule: Rule) -> bool:
     return rule.rule == "allowed_values" and len(rule.values) > MOST_LITERALS
 
@@ -93,7 +99,7 @@ def _bad(rule: Rule, number: int) -> Column:
         if rule.max_length is not None:
             wrong = wrong | (size > rule.max_length)
     elif rule.rule == "date":
-        wrong = ref(f"__date_of_{rule.column}").isNull()
+        wrong = ref(_date_of(rule.column, rule.reference_year)).isNull()
     elif rule.rule == "regex":
         wrong = ~value.rlike(patterns.java_full(rule.pattern))
     elif _is_joined(rule):

@@ -52,6 +52,8 @@ class Rule:
     max_length: int | None = None
     pattern: str | None = None
     values: list[str] | None = None
+    # For dates: two-digit years lie within 50 years of this one; None: the year of the run.
+    reference_year: int | None = None
 
     def __post_init__(self):
         problem = self._problem()

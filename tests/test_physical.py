@@ -1,7 +1,8 @@
 """What the plans of hot operators hold."""
 
 from tablescour.columns import ROW
-from tablescour.operators import dedupe, validate
+from tablescour.functions import dates
+from tablescour.operators import dedupe, profile, validate
 from tablescour.plans.spec import DedupeConfig, Rule
 
 
@@ -26,3 +27,13 @@ def test_large_sets_of_values_are_joined(table):
     assert "99998" not in _plan(found)
     assert sorted((r.rule_no, r.row, r.value) for r in found.collect()) == [(0, 2, "x"), (1, 2, "x"), (1, 5, "99999")]
     assert validate.drop_invalid(df, [rule]).count() == 5
+
+
+def test_two_digit_years_follow_the_reference_year(table):
+    df = table(d=["01/02/35", "03/04/1990", "31/31/35"])
+    for year, kind in ((2020, "date"), (1970, "date")):
+        rules = [Rule("d", "date", reference_year=year), Rule("d", "date")]
+        assert [r.row for r in validate.failures(df, rules).filter("rule_no = 0").collect()] == [3]
+        assert profile.profile(df.limit(2), reference_year=year).first().detected_type == kind
+    parsed = dates.with_parsed_dates(df, {"t": "d"}, reference_year=1970).orderBy(ROW).first().t
+    assert parsed.year == 1935
