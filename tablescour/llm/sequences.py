@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablescour.llm.files import Output, open_input
+from tablescour.llm.workers import kept
 from tablescour.llm.words import WordHasher, ragged, text_bytes
 
 LENGTH = 2048
@@ -230,6 +231,11 @@ class SequenceReader:
         ids, mask = (batch.column(c).flatten() for c in (0, 1))
         return ids.to_numpy()[part], mask[part.start : part.stop].to_numpy(zero_copy_only=False)
 
+    def views(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of row ``i`` as views of the file's memory; masks are bit-packed."""
+        batch, at = self.batch(i // self.rows), i % self.rows
+        return tuple(batch.column(c).flatten().slice(at * self.length, self.length) for c in (0, 1))
+
     def pieces(self, start: int, stop: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` to ``stop``, batch by batch."""
         step = self.length * self.rows
@@ -258,7 +264,7 @@ def write_sequences(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = ChunkEncoder(tokenizer)
+                encoder = kept(("chunks", tokenizer), lambda: ChunkEncoder(tokenizer))
                 writer = SequenceWriter(
                     folder, context.partitionId(), context.taskAttemptId(), encoder.dtype, length, rows
                 )

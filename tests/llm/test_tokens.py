@@ -57,6 +57,19 @@ def test_files_hold_all_documents_in_order(spark, messy):
             assert len(ids) == len(mask) == 64 and mask.sum() == len(part) and (ids[: len(part)] == part).all()
 
 
+def test_views_share_the_memory_of_the_file(spark, messy):
+    folder = shared_dir(spark, "test-sequences")
+    for shard in write_sequences(messy, folder, PATH, length=64, rows=4).collect():
+        reader = SequenceReader(shard.ids_file)
+        rows = -(-shard.n_tokens // 64)
+        before = pa.total_allocated_bytes()
+        views = [reader.views(i) for i in range(rows)]
+        assert pa.total_allocated_bytes() == before  # mapped, not copied
+        for i in (0, rows - 1):
+            ids, mask = reader.row(i)
+            assert views[i][0].to_numpy().tolist() == ids.tolist() and views[i][1].to_pylist() == mask.tolist()
+
+
 def test_no_documents_write_no_shard(spark, no_docs):
     folder = shared_dir(spark, "test-sequences")
     assert write_sequences(no_docs, folder, PATH).count() == 0
