@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 
 from tablescour.llm import decontaminate, kneser_ney, mixing, sequences, setsketch
@@ -45,11 +47,32 @@ STAGES = [
 ORACLE_SQL = None
 
 
+# What the driver keeps of a finished query is mostly the text of its plan.
+PLAN_TEXTS = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.ui.explainMode": "simple"}
+
+
 def run(spark, sf_dir):
-    """All stages over documents; each stage's rows are written and read again."""
+    """All stages over documents; each stage's rows are written and read again.
+
+    The stages are some two hundred queries. Their plans are kept as short texts while
+    they run, and after each stage the driver lets go of its broadcasts and shuffles,
+    which Spark does only when the driver's memory is collected.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark, "pipeline")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    before = {name: spark.conf.get(name, None) for name in PLAN_TEXTS}
+    try:
+        for name, value in PLAN_TEXTS.items():
+            spark.conf.set(name, value)
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            gc.collect()
+            spark._jvm.java.lang.System.gc()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return docs
