@@ -79,11 +79,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(letters == 0, F.lit(1.0)).otherwise(2.0 * matched_letters(a, b) / letters)
 
 
-def letter_counts(text: Column, letters: str) -> Column:
-    """How often the text holds each of ``letters``."""
-    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in letters])
-
-
 def grams(text: Column, size: int) -> Column:
     """All substrings of a size, repeats included."""
     return F.when(F.length(text) < size, F.array().cast("array<string>")).otherwise(

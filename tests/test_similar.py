@@ -31,8 +31,7 @@ def test_the_index_loses_no_similar_name(spark):
     got = {
         r.plain: (r.target, round(r.near, 9))
         for r in match.similar_targets(
-            spark.createDataFrame([(n,) for n in names], "plain string"),
-            match.candidates(spark, match.TARGETS, match.SYNONYMS),
+            spark.createDataFrame([(n,) for n in names], "plain string"), match.TARGETS, match.SYNONYMS
         ).collect()
     }
     want = {}
