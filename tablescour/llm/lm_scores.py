@@ -37,7 +37,8 @@ from tablescour.session import shared_dir
 BLOCK = 1_200_000
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-HOT_DOCS, HOT_SHARE = 2000, 1e-3
+HOT_SHARE = 1e-3
+SHARD_BYTES = 32 << 20  # of text for each shard
 BEGIN, END = np.uint64(1), np.uint64(2)
 _ASKED = "shard int, block string, payload binary"
 _TOLD = "shard int, block string, payload binary, n long, v long, hot array<long>"
@@ -261,29 +262,39 @@ def _sum_up(folder: str, shards: int, hot: np.ndarray, hot_widths: np.ndarray, t
     return run
 
 
-def frequent_words(texts: DataFrame, docs: int = HOT_DOCS, share: float = HOT_SHARE) -> np.ndarray:
-    """Hashes of words that make up ``share`` of a bounded sample: at most ``1 / share``.
+def frequent_words(texts: DataFrame, share: float = HOT_SHARE) -> tuple[np.ndarray, int]:
+    """Hashes of all words that make up ``share`` of all tokens, and the texts' bytes.
 
-    They only decide where pairs are kept, not any count.
+    A pass over all texts. Blocks tell only words with half that share in them: a word of
+    the full share has at least half of it in such blocks, so the sums find it, and at
+    most ``2 / share`` words reach the driver. They only decide where pairs are kept.
     """
 
     def count(batches):
         for _, _, tokens in token_blocks(batches):
             words, n = np.unique(tokens, return_counts=True)
-            keep = n >= share * len(tokens)
-            yield pa.record_batch([pa.array(words[keep].view(np.int64))], names=["word"])
+            keep = n >= share / 2 * len(tokens)
+            columns = [pa.array(words[keep].view(np.int64)), pa.array(n[keep], pa.int64())]
+            yield pa.record_batch(columns, names=["word", "n"])
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([len(tokens)], pa.int64())], names=["word", "n"])
 
-    rows = texts.limit(docs).mapInArrow(count, "word long").distinct().collect()
-    return np.sort(np.append(np.array([r.word for r in rows], np.int64).view(np.uint64), BEGIN))
+    spark, folder = texts.sparkSession, shared_dir(texts.sparkSession, "lm-words")
+    counted = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted.write.mode("overwrite").parquet(folder)
+    counted = spark.read.schema("word long, n long").parquet(folder)
+    total = counted.where("word is null").select("n").first()
+    rows = counted.where(F.col("word").isNotNull() & (F.col("n") >= share / 2 * (total.n if total else 0))).collect()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    return np.sort(np.append(np.array([r.word for r in rows], np.int64).view(np.uint64), BEGIN)), size
 
 
 def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", discount=DISCOUNT, shards: int | None = None) -> DataFrame:
     """Split, counts and scores of each document; the tries stay in the shared folder."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "lm")
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = frequent_words(texts)
+    hot, size = frequent_words(texts)
+    shards = shards or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     asked = texts.mapInArrow(_ask(folder, shards, hot), _ASKED)
     told = asked.groupBy("shard").applyInArrow(_tell(folder, hot), _TOLD)
     told.write.mode("overwrite").parquet(f"{folder}/told")
