@@ -369,10 +369,12 @@ def subtree_sums(tree: DataFrame, folder: str, values: list[str]) -> DataFrame:
     known = now.select("node", *values)
     for place, record in reversed(list(enumerate(records, 1))):
         lines = record.where("via is not null").select("via", "node", *(f"via_{v}" for v in values))
-        opened = _stored(lines.join(known, "node").select(
+        opened = lines.join(known, "node").select(
             F.col("via").alias("node"), *((F.col(v) + F.col(f"via_{v}")).alias(v) for v in values)
-        ), f"{folder}/opened{place}")
-        known = known.unionByName(opened).unionByName(record.where("raked").select("node", *values))
+        )
+        # Written whole each time: sizes shrink by a share per round, so all are a few trees.
+        raked = record.where("raked").select("node", *values)
+        known = _stored(known.unionByName(opened).unionByName(raked), f"{folder}/known{place}")
     return known
 
 
