@@ -8,10 +8,16 @@ compared with items of that size only. A document shorter than an item is a wind
 The similarity is the weighted Jaccard of the shingle multisets, by how few items hold a
 shingle; at least ``LIMIT`` is a match. A match shares at least ``LIMIT`` of the item's
 weight, so it holds one of the item's rarest shingles that together weigh more than the
-rest allows to miss. Windows begin as a lookup of those: every start is taken whose window
-holds one. Pairs of a window and an item with such a shingle in common whose shared weight
-allows ``LIMIT`` are compared exactly. No step is left to chance, and shingles that many
-items share, as boilerplate, are not looked up unless an item has nothing rarer.
+rest allows to miss: documents and items with such a shingle in common are compared. No
+step is left to chance, and shingles that many items share, as boilerplate, are not looked
+up unless an item has nothing rarer.
+
+A pair is compared over all windows at once. With ``b`` copies of a shingle in the item, an
+occurrence counts in the windows that hold it but not its ``b``-th predecessor, which is one
+run of starts; so the weight shared by each window is a running sum over the ends of these
+runs. Starts whose shared weight allows ``LIMIT`` get the whole weight of their window from
+running sums over the document. The work grows with the places found, not with windows
+times their sizes. Weights are whole numbers, so that sums are exact in any order.
 
 Defined cases: null and empty texts and items match nothing; a null id is an id like any
 other; rows with equal ids are judged alone, by their own text; equal rows are all
@@ -21,6 +27,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +37,8 @@ from tablescour.session import shared_dir
 WIDTH = 5
 LIMIT = 0.8
 EPSILON = 1e-9
-BROADCAST_ROWS = 200_000
+ONE = float(1 << 36)  # a weight of 1
+BROADCAST_ROWS = 200_000  # of a few numbers each
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -56,6 +65,12 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _places(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, n, at, h): the places of all shingles of ``width`` words."""
+    words = docs.select("doc", _hashed_words("text").alias("words"))
+    return words.select("doc", F.size("words").alias("n"), F.posexplode(_shingles("words", width)).alias("at", "h"))
+
+
 def matches(
     docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id",
     item_text_col="text", limit=LIMIT,
@@ -77,74 +92,71 @@ def matches(
         whole = F.when(F.col("size") == k, _shingles("words", k)).otherwise(whole)
     bench = stored("items", bench.withColumn("shingles", whole).drop("words"))
     held = bench.select("item_id", F.explode(F.array_distinct("shingles")).alias("h")).distinct()
-    n_items = bench.select("item_id").distinct().count()
-    rarity = lambda df: F.ln(F.lit(1.0) + F.lit(float(max(n_items, 1))) / F.coalesce(df, F.lit(1)))
-    weights = stored("weights", held.groupBy("h").agg(F.count("*").alias("items")))
-    masses = bench.select("item", "size", F.explode("shingles").alias("h")).groupBy("item", "size", "h").count()
-    masses = masses.join(_bounded(weights), "h").withColumn("mass", F.col("count") * rarity(F.col("items")))
+    n_items = float(max(bench.select("item_id").distinct().count(), 1))
+    weight = lambda items: F.round(F.ln(F.lit(1.0) + F.lit(n_items) / items) * ONE).cast("long")
+    weights = stored("weights", held.groupBy("h").agg(weight(F.count("*")).alias("weight")))
+    unknown = weight(F.lit(1.0))  # of a shingle that no item holds
+    masses = bench.select("item", "size", F.explode("shingles").alias("h")).groupBy("item", "size", "h").agg(
+        F.count("*").cast("int").alias("copies"))
+    masses = masses.join(_bounded(weights), "h").withColumn("mass", F.col("copies") * F.col("weight"))
     each = Window.partitionBy("item")
-    ranked = each.orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = each.orderBy(F.desc("weight"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     masses = masses.withColumns({"total": F.sum("mass").over(each), "upto": F.sum("mass").over(ranked)})
+    masses = stored("masses", masses)
     spare = F.lit(1 - limit) * F.col("total") * (1 + EPSILON)
-    lookup = masses.where(F.col("upto") - F.col("mass") <= spare).select("h", "size", "item")
-    lookup = _bounded(stored("lookup", lookup))
-    entries = masses.groupBy("item").agg(F.collect_list(F.struct("h", "mass")).alias("entries"), F.first("total").alias("total"))
-    entries = stored("entries", entries)
+    lookup = stored("lookup", masses.where(F.col("upto") - F.col("mass") <= spare).select("h", "size", "item"))
     widths = [r[0] for r in bench.select(F.least("size", F.lit(WIDTH))).distinct().collect()]  # at most WIDTH
-
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    windows = None
-    for width in widths:
-        found = keyed.select("doc_id", "text_hash", _hashed_words("text").alias("words"))
-        found = found.select("doc_id", "text_hash", F.posexplode(_shingles("words", width)).alias("at", "h"))
-        sized = _bounded(lookup.where(F.least("size", F.lit(WIDTH)) == width).select("h", "size").distinct())
-        found = found.join(sized, "h").groupBy("doc_id", "text_hash", "size").agg(F.collect_set("at").alias("at"))
-        found = stored(f"hits{width}", found)
-        sizes = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "at")).alias("hits"))
-        sizes = stored(f"found{width}", sizes)
-        near = keyed.join(
-            _bounded(sizes.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})),
-            (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")),
-        ).select("doc_id", "text_hash", "hits", _hashed_words("text").alias("words"))
-        near = near.select("doc_id", "text_hash", "hits", F.size("words").alias("n"), _shingles("words", width).alias("s"))
-        near = near.dropDuplicates(["doc_id", "text_hash"])
-
-        def windows_of(hit):
-            size = hit["size"]
-            last = F.greatest(F.col("n") - size, F.lit(0))
-            starts = F.flatten(F.transform(hit["at"], lambda p: F.sequence(
-                F.least(last, F.greatest(F.lit(0), p + width - size)), F.least(last, p))))
-            return F.transform(F.array_distinct(starts), lambda a: F.struct(
-                size.alias("size"), a.alias("start"), F.slice(F.col("s"), a + 1, size - (width - 1)).alias("shingles")))
-
-        each = near.select("doc_id", "text_hash", F.explode(F.flatten(F.transform("hits", windows_of))).alias("w"))
-        each = each.select("doc_id", "text_hash", "w.*")
-        windows = each if windows is None else windows.union(each)
-    if windows is None:
+    if not widths:
         return spark.createDataFrame(
             [], f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, "
             f"item_id {items.schema[item_col].dataType.simpleString()}, similarity double")
-    windows = stored("windows", windows.withColumn("window", F.xxhash64("doc_id", "text_hash", "size", "start")))
-
-    each = windows.select("window", "size", "shingles", F.explode(F.array_distinct("shingles")).alias("h"))
-    pairs = each.join(lookup, ["size", "h"]).join(_bounded(entries), "item")
-    shared = F.aggregate("entries", F.lit(0.0), lambda sum_, e: sum_ + F.when(
-        F.array_contains(F.col("shingles"), e["h"]), e["mass"]).otherwise(0.0))
-    pairs = pairs.where(shared >= F.lit(limit) * F.col("total") * (1 - EPSILON))
-    pairs = stored("pairs", pairs.select("window", "item").distinct())
-
-    left = pairs.join(windows.select("window", "shingles"), "window")
-    left = left.select("window", "item", F.explode("shingles").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    right = pairs.join(_bounded(bench.select("item", "shingles")), "item")
-    right = right.select("window", "item", F.explode("shingles").alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = left.union(right).groupBy("window", "item", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.join(_bounded(weights), "h", "left").withColumn("w", rarity(F.col("items")))
-    similar = counts.groupBy("window", "item").agg(
-        (F.sum(F.col("w") * F.least("a", "b")) / F.sum(F.col("w") * F.greatest("a", "b"))).alias("similarity")
-    ).where(F.col("similarity") >= limit - 1e-12)
-    similar = similar.join(_bounded(bench.select("item", "item_id")), "item")
-    similar = similar.join(windows.select("window", "doc_id", "text_hash"), "window")
-    return similar.groupBy("doc_id", "text_hash", "item_id").agg(F.max("similarity").alias("similarity"))
+
+    text = F.col(text_col)
+    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("doc"), text.alias("text"))
+    union = lambda parts: functools.reduce(DataFrame.union, parts)
+    pairs = []
+    for width in widths:
+        sought = _bounded(lookup.where(F.least("size", F.lit(WIDTH)) == width))
+        found = _places(keyed, width).join(sought, "h").select("doc", "n", "item", "size").distinct()
+        pairs.append(found.withColumn("width", F.lit(width)))
+    pairs = stored("pairs", union(pairs))
+    known = []
+    for width in widths:
+        near = keyed.join(_bounded(pairs.where(F.col("width") == width).select("doc").distinct()), "doc")
+        # a set, as equal rows have equal places
+        known.append(_places(near, width).join(_bounded(weights), "h").groupBy("doc", "h", "weight").agg(
+            F.sort_array(F.collect_set("at")).alias("at")).withColumn("width", F.lit(width)))
+    known = stored("known", union(known))
+
+    pair = ["doc", "item", "width", "shingles", "last", "total"]
+    spans = pairs.withColumns({
+        "shingles": F.least("size", "n") - F.col("width") + 1, "last": F.greatest(F.col("n") - F.col("size"), F.lit(0)),
+    }).join(masses.select("item", "h", "copies", "weight", "total"), "item").join(known.select("doc", "h", "at"), ["doc", "h"])
+    runs = F.transform("at", lambda at, k: F.struct(
+        F.greatest(F.lit(0), at - F.col("shingles") + 1, F.get("at", k - F.col("copies")) + 1).alias("first"), (at + 1).alias("end")))
+    spans = spans.select(*pair, "weight", F.explode(runs).alias("run")).where("run.first <= last")
+    ends = F.array(
+        F.struct(F.col("run.first").alias("start"), F.col("weight").alias("step")),
+        F.struct(F.col("run.end").alias("start"), (-F.col("weight")).alias("step")))
+    steps = spans.select(*pair, F.explode(ends).alias("end")).groupBy(*pair, "end.start").agg(F.sum("end.step").alias("step"))
+    along = Window.partitionBy("doc", "item").orderBy("start")
+    steps = steps.withColumns({"shared": F.sum("step").over(along), "next": F.lead("start").over(along)})
+    steps = steps.where((F.col("start") <= F.col("last")) & (F.col("shared") >= F.lit(limit) * F.col("total") * (1 - EPSILON)))
+    starts = steps.withColumn("start", F.explode(F.sequence("start", F.least(F.col("next") - 1, F.col("last")))))
+
+    window = ["item", "start", "shingles", "total", "shared"]
+    asked = F.array(F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")),
+                    F.struct((F.col("start") + F.col("shingles") - 1).alias("at"), F.lit(1).alias("sign")))
+    asked = starts.select("doc", "width", *window, F.explode(asked).alias("a")).select(
+        "doc", "width", *window, "a.at", "a.sign", F.lit(0).cast("long").alias("less"))
+    less = known.select("doc", "width", F.explode("at").alias("at"), (unknown - F.col("weight")).alias("less"))
+    upto = Window.partitionBy("doc", "width").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = asked.unionByName(less, allowMissingColumns=True).withColumn("less", F.sum("less").over(upto))
+    sums = sums.where("sign is not null").groupBy("doc", *window).agg(F.sum(F.col("sign") * F.col("less")).alias("less"))
+    every = F.col("shingles") * unknown - F.col("less") + F.col("total") - F.col("shared")
+    similar = sums.groupBy("doc", "item").agg(F.max(F.col("shared") / every).alias("similarity"))
+    similar = similar.where(F.col("similarity") >= limit - 1e-12).join(_bounded(bench.select("item", "item_id")), "item")
+    return similar.groupBy("doc", "item_id").agg(F.max("similarity").alias("similarity")).select("doc.*", "item_id", "similarity")
 
 
 def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, Column]:

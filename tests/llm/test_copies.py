@@ -139,3 +139,23 @@ def test_leaks_with_shared_boilerplate_and_changed_words(spark):
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = decontaminate.decontaminate(table, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: r.item_ids or [] for r in got} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_long_items_are_compared_over_all_windows(spark):
+    rng = random.Random(31)
+    make = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    long, loop = make(2000), make(7) * 60  # the second repeats its shingles
+    items = [(0, " ".join(long)), (1, " ".join(loop)), (2, " ".join(long[:700] + make(10)))]
+    changed = lambda step: [w if k % step else "changed" for k, w in enumerate(long)]
+    docs = [
+        make(300) + long + make(300), long[100:], long[:1500], changed(60), changed(30), make(50) + loop + loop[:100],
+        loop[:380] + make(90), make(20) + long[:690] + make(40), long[:1000] + make(30) + long[1000:] + make(200),
+    ]
+    docs = [" ".join(d) for d in docs]
+    want = leaks(docs, items)
+    assert 5 <= sum(map(bool, want.values())) < len(docs)
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = decontaminate.matches(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 8) for r in got} == {
+        (d, i): round(s, 8) for d, found in want.items() for i, s in found.items()
+    }
