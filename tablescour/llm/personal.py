@@ -4,8 +4,14 @@ Base spans come from four patterns on the text itself. Then a transducer rewrite
 text: homoglyphs and full-width characters become ASCII, words for digits in a row become
 digits, and "at" and "dot" disguises become ``@`` and ``.``; each written character keeps
 the source span it came from. The same patterns run on the rewritten text, and a match is
-mapped back to the source characters from its first to its last. A span is added where it
-meets no base span of its kind.
+mapped back to the source characters from its first to its last. A span is added unless it
+lies in a base span of its kind: one that reaches further than a base span shows the rest
+of a half disguised identifier.
+
+Signs in brackets, or spoken or set off by blanks: "at" before a domain that is spoken too
+or has an ending of ``ENDINGS``, where no word of ``BEFORE_AT`` comes before it; "dot" and
+its German, French and Spanish words in brackets, after an "at", or between digits. Digit
+words count four in a row, or alone beside a spoken dot between numbers.
 
 Kinds and rules: ``email``; ``ip``, parts at most 255; ``card``, 14 to 19 digits that
 pass Luhn; ``phone``, ``+`` and 10 to 15 digits. Matches are leftmost, do not overlap
@@ -61,12 +67,30 @@ DIGIT_WORDS = {
     for w in words.split()
 }
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
-_BRACKETED = re.compile(r"[\[({<][ \t]*(?:(at|@)|dot|punkt|point|punto|\.)[ \t]*[\])}>]", re.I)
-_SPOKEN = re.compile(r"(?<=[ \t])(?:(at)|dot)(?=[ \t])", re.I)
-_AFTER_AT = re.compile(r"[A-Za-z0-9-]+[ \t]+dot[ \t]", re.I)
+# Endings of domains after a spoken "at", and words before an "at" of place.
+ENDINGS = "com org net edu gov info biz io dev app de at ch fr es it nl uk us eu co ca au example test".split()
+BEFORE_AT = frozenset(
+    "a an and are arrive arrived available be call contact email found here held him her hosted is it lives look mail me "
+    "meet met not now online or read reach see seen shop site the them there us visit was we were work works you".split()
+)
+_DOT = "dot|punkt|point|punto"
+_BRACKETED = re.compile(rf"[\[({{<][ \t]*(?:(at|a|@)|{_DOT}|\.)[ \t]*[\])}}>]", re.I)
+_SPOKEN = re.compile(r"(?<=[ \t])(?:(at|@)|dot)(?=[ \t])", re.I)
+_ENDING = rf"(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-]|\.[A-Za-z0-9])"
+_AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:[ \t]+dot[ \t]|[ \t]*[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>])", re.I)
+_WRITTEN = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.{_ENDING}", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_DOT_AFTER = re.compile(
+    rf"[ \t]+(?:{_DOT}|\.(?=[ \t]+(?:[A-Za-z0-9-]+[ \t]+\.[ \t]+){{,4}}{_ENDING}))[ \t]+(?=[A-Za-z0-9])", re.I
+)
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _NUMBER = re.compile(
     rf"(?<![^\W\d_])(?:plus[ \t]+)?(?:{_DIGIT})(?:[ \t-]+(?:{_DIGIT}|[0-9]+)(?![^\W\d_])){{3,}}", re.I
 )
+_QUAD = re.compile(
+    rf"(?<![^\W_])(?:{_DIGIT}|[0-9]+)(?:[ \t]+(?:{_DOT})[ \t]+(?:{_DIGIT}|[0-9]+)){{3}}(?![^\W_])", re.I
+)
+_QUAD_PART = re.compile(rf"([ \t]+(?:{_DOT})[ \t]+)|({_DIGIT})|([0-9]+)", re.I)
 _PART = re.compile(rf"(plus)|({_DIGIT})|([0-9]+)", re.I)
 
 
@@ -169,10 +193,10 @@ def _plain(text: str) -> Rewriter | None:
 
 def _signs(text: str, low: str):
     """(start, end, sign) of disguised ``@`` and ``.``, with the blanks around them."""
-    found = []
+    found, seen = [], set()
     if any(c in text for c in "[({<"):
         found += [(m, True) for m in _BRACKETED.finditer(text)]
-    if " dot" in low or "\tdot" in low:
+    if any(x in low for x in (" dot", "\tdot", " at ", "\tat", "at\t", " @", "\t@")):
         found += [(m, False) for m in _SPOKEN.finditer(text)]
     for m, bracketed in found:
         a, b = m.span()
@@ -180,9 +204,34 @@ def _signs(text: str, low: str):
             a -= 1
         while b < len(text) and text[b] in " \t":
             b += 1
-        between = a and b < len(text) and text[a - 1].isalnum() and text[b].isalnum()
-        if between and (bracketed or not m[1] or _AFTER_AT.match(text, b)):
-            yield a, b, "@" if m[1] else "."
+        if not (a and b < len(text) and text[a - 1].isalnum() and text[b].isalnum()):
+            continue
+        if not m[1]:
+            yield a, b, "."
+            continue
+        label = _LABEL.match(text, b)
+        dot = label and _DOT_AFTER.match(text, label.end())
+        strong = m[1] == "@" or bracketed and m[1].lower() == "at"
+        if strong or _AFTER_AT.match(text, b):
+            good = bracketed or dot or m[1] != "@" or _WRITTEN.match(text, b)
+        else:
+            before = _WORD_BEFORE.search(text, max(0, a - 64), a)
+            good = before and before[0].lower() not in BEFORE_AT and _WRITTEN.match(text, b)
+        if good:
+            yield a, b, "@"
+        while good and dot and dot.end() not in seen:  # the dots of the domain after it, each once
+            seen.add(dot.end())
+            yield *dot.span(), "."
+            dot = _DOT_AFTER.match(text, _LABEL.match(text, dot.end()).end())
+
+
+def _quads(text: str, low: str):
+    """Four numbers with spoken dots: (start, end, what is written) of their words."""
+    if not any(f" {w}" in low or f"\t{w}" in low for w in _DOT.split("|")):
+        return
+    for m in _QUAD.finditer(text):
+        for p in _QUAD_PART.finditer(text, *m.span()):
+            yield *p.span(), "." if p[1] else DIGIT_WORDS[p[2].lower()] if p[2] else p[3]
 
 
 def _numbers(text: str, low: str):
@@ -197,7 +246,7 @@ def _numbers(text: str, low: str):
 def _spoken(text: str) -> Rewriter | None:
     """Second pass: digit words and disguised signs."""
     low = text.lower()
-    found = sorted([*_signs(text, low), *((a, b, "") for a, b in _numbers(text, low))])
+    found = sorted({*_signs(text, low), *_quads(text, low), *((a, b, "") for a, b in _numbers(text, low))})
     if not found:
         return None
     out, done = Rewriter(text), 0
@@ -232,8 +281,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         for step in reversed(passes):
             start, end = step.source(start, end)
         spans = taken[kind]
-        i = bisect_left(spans, (end,))
-        if not (i and spans[i - 1][1] > start):
+        i = bisect_left(spans, (start + 1,))
+        if not (i and spans[i - 1][1] >= end):
             found.append((start, kind, end))
     return found
 

@@ -146,6 +146,13 @@ def test_base_spans_are_those_of_the_patterns():
         ("at 1 dot 2 dot 3 dot 4", "ip", "1 dot 2 dot 3 dot 4"),
         ("host １０.0.0.１", "ip", "１０.0.0.１"),
         ("4111​111111111111 x", "card", "4111​111111111111"),
+        ("write to john at example.com, please", "email", "john at example.com"),
+        ("john [at] example punkt com", "email", "john [at] example punkt com"),
+        ("john at mail dot example dot org!", "email", "john at mail dot example dot org"),
+        ("at 10 dot zero dot zero dot one", "ip", "10 dot zero dot zero dot one"),
+        ("john @ example . com", "email", "john @ example . com"),
+        ("john(a)example.com", "email", "john(a)example.com"),
+        ("to jоhn@example.com", "email", "jоhn@example.com"),  # a Cyrillic letter: the base span begins after it
     ],
 )
 def test_disguises(text, kind, span):
@@ -153,11 +160,16 @@ def test_disguises(text, kind, span):
     assert [(personal.KINDS[k], text[a:b]) for a, k, b in added] == [(kind, span)]
 
 
-@pytest.mark.parametrize("text", ["is at home. dot", "look at this dot", "one two at three", "[at]", "a" + " " * 50_000 + "[at]"])
+@pytest.mark.parametrize("text", ["is at home. dot", "look at this dot", "one two at three", "[at]", "see it at example.com", "meet me at home.then go", "item (a) second", "a . b", "we met at noon . then left", "a" + " " * 50_000 + "[at]"])
 def test_no_disguise(text):
     assert personal.added_spans(text, []) == []
 
 
+def test_long_chains_of_signs_take_linear_time():
+    for part in (" at at dot", " @ a . com", " one dot", " (a) a.com", " at a.com.com", "1 dot "):
+        personal.added_spans("x" + part * 50_000, [])
+
+
 def test_personal_data_of_rows(spark, messy, no_docs):
     text = "x@y.zz or x [at] y [dot] zz, 10.0.0.1"
     extra = spark.createDataFrame([(500, text)], "doc_id long, text string")
