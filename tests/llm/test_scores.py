@@ -133,6 +133,20 @@ def test_classifier_rejects_held_out_toxic_labels(spark):
     assert good.kept.mean() > 0.97
 
 
+def test_model_counts_every_trusted_document(spark):
+    docs = spark.range(4_400).selectExpr("id AS doc_id", "concat(substr(sha2(string(id), 256), 1, 20), ' end') AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "int(doc_id >= 4300) AS toxic").repartition(3)
+    model = kneser_ney.fit(docs.where("doc_id < 4300").select("text"))
+    rows = kneser_ney.classify(docs, labels).where("doc_id < 50").toPandas()
+    texts = docs.where("doc_id < 50").toPandas().set_index("doc_id").text
+    data = {i: np.frombuffer(t.encode(), np.uint8) for i, t in texts.items()}
+    codes = {i: kneser_ney.grams(d, np.array([0, len(d)]), 4, kneser_ney.symbol_table()) for i, d in data.items()}
+    for r in rows.itertuples():
+        assert r.perplexity == pytest.approx(10 ** -model[codes[r.doc_id]].astype(float).mean(), rel=1e-9)
+    some = kneser_ney.among(docs, docs.where("doc_id % 7 = 3").select("doc_id"))
+    assert sorted(r.doc_id for r in some.collect()) == list(range(3, 4_400, 7))
+
+
 def test_classifier_on_messy_rows(spark, messy, no_docs):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame(
