@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tablescour.llm.components import connected_components
 from tablescour.llm.words import WordHasher, mix, text_bytes
-from tablescour.session import shared_dir
+from tablescour.session import shared_dir, small_batches
 
 ROWS = 4
 FINE, COARSE = 1.001, 140  # base of the band registers; levels merged for the estimate
@@ -247,7 +247,8 @@ def _grouped(docs: DataFrame, id_col, text_col, width, num, den, bands) -> tuple
     floor = _floor(limit)
 
     def stored(name, df):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        with small_batches(spark):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     texts = docs.select(

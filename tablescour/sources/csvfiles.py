@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,31 +10,15 @@ from pyspark.sql import types as T
 
 from tablescour.columns import quoted, ref
 from tablescour.errors import CleanError
+from tablescour.session import settings
 from tablescour.sources.inventory import inventory, plain_path
 from tablescour.sources.records import spanning_records
 from tablescour.sources.snapshots import BLOCK, CORRUPT, FILE, PLACE
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    """Set session options for the time one plan is built and run."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for key, value in names.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
 def csv_settings(spark: SparkSession):
     """Windows-1252 input, and no pruning, which would hide rows of the wrong width."""
-    return _settings(
+    return settings(
         spark,
         spark__sql__legacy__javaCharsets="true",
         spark__sql__csv__parser__columnPruning__enabled="false",

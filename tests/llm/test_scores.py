@@ -157,6 +157,8 @@ def test_classifier_on_messy_rows(spark, messy, no_docs):
     assert all((r.perplexity is None and not r.kept) == (r.n_bytes == 0) for r in rows)
     kept = kneser_ney.accepted(messy, labels)
     assert kept.columns == messy.columns and kept.count() == sum(r.kept for r in rows)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()  # whole rows stay in the JVM
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in rows if r.kept)
     unlabelled = kneser_ney.classify(messy, labels.limit(0)).collect()
     assert all(r.kept == (r.n_bytes > 0) for r in unlabelled)
     assert kneser_ney.classify(no_docs, labels).count() == 0
