@@ -62,17 +62,40 @@ def _parts(line: bytes) -> Iterator[tuple[bytes, bytes]]:
         yield last, b"\n"
 
 
-def _blocks(batches, *names):
-    """(path, block, rows) for each run of rows of one block, batch by batch."""
+class _Lines:
+    """The lines of a batch in one piece, each with its line feed."""
+
+    def __init__(self, column: pa.Array):
+        wide = pa.types.is_large_binary(column.type)
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+        ends = ends.astype(np.int64)
+        data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        found = np.searchsorted(ends, np.flatnonzero(data == ord('"')), "right") - 1
+        self.quoted = np.unique(found)  # numbers of the lines with quotes
+        self.ends = ends + np.arange(len(ends))
+        self.bytes = np.insert(data, ends[1:], ord("\n")).tobytes()
+
+    def text(self, a: int, b: int) -> bytes:
+        return self.bytes[self.ends[a] : self.ends[b]]
+
+    def between(self, a: int, b: int) -> list[int]:
+        """Lines with quotes among those from ``a`` to before ``b``."""
+        return self.quoted[np.searchsorted(self.quoted, a) : np.searchsorted(self.quoted, b)].tolist()
+
+
+def _blocks(batches):
+    """(key of the block, batch, lines, a, b) for each run of rows of one block, batch by batch."""
     for batch in batches:
         keys = batch.column("key").to_numpy()
         if not len(keys):
             continue
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        columns = [batch.column(n).to_pylist() for n in names]
+        lines = _Lines(batch.column("value"))
         for a, b in zip(cuts, cuts[1:]):
             here = (batch.column("path")[a].as_py(), batch.column("block")[a].as_py())
-            yield here, zip(*(c[a:b] for c in columns))
+            yield here, batch, lines, a, b
 
 
 def _functions(delimiter: bytes):
@@ -87,16 +110,15 @@ def _functions(delimiter: bytes):
                 names=["path", "block", "from_outside", "from_inside", "has_text"],
             )
 
-        for here, rows in _blocks(batches, "value"):
+        for here, _, lines, a, b in _blocks(batches):
             if here != key:
                 if key is not None:
                     yield row()
                 key, out, within, text = here, False, True, False
-            for (value,) in rows:
-                text = text or bool(value.strip())
-                if b'"' in value:
-                    for line, _ in _parts(value):
-                        out, within = ends_inside(line, out, delimiter), ends_inside(line, within, delimiter)
+            text = text or bool(lines.text(a, b).strip())
+            for i in lines.between(a, b):
+                for line, _ in _parts(lines.text(i, i + 1)[:-1]):
+                    out, within = ends_inside(line, out, delimiter), ends_inside(line, within, delimiter)
         if key is not None:
             yield row()
 
@@ -144,25 +166,30 @@ def _cut(delimiter: bytes, batch_bytes: int = 1 << 22):
             size += len(record)
 
         continued = False
-        for here, lines in _blocks(batches, "value", "inside", "header"):
-            lines = list(lines)
+        for here, batch, lines, a, b in _blocks(batches):
             if here != key:
                 if held:
                     close(CONTINUED if continued else BEGIN, False)
                 if rows:
                     yield flush()
-                key, place, inside, header = here, 0, lines[0][1], lines[0][2]
+                key, place = here, 0
+                inside, header = (batch.column(n)[a].as_py() for n in ("inside", "header"))
                 continued = inside
-            for value, _, _ in lines:
-                for line, ending in _parts(value):
-                    if b'"' in line:
-                        inside = ends_inside(line, inside, delimiter)
-                    held.append(line + ending)
-                    if not inside:
-                        close(CONTINUED if continued else WHOLE, True)
-                        continued = False
-                if size > batch_bytes:
-                    yield flush()
+            for quoted in [*lines.between(a, b), b]:
+                if inside and a < quoted:  # up to the next quote all is one cell
+                    held.append(lines.text(a, quoted))
+                    a = quoted
+                for i in range(a, min(quoted + 1, b)):
+                    for line, ending in _parts(lines.text(i, i + 1)[:-1]):
+                        if b'"' in line:
+                            inside = ends_inside(line, inside, delimiter)
+                        held.append(line + ending)
+                        if not inside:
+                            close(CONTINUED if continued else WHOLE, True)
+                            continued = False
+                    if size > batch_bytes:
+                        yield flush()
+                a = quoted + 1
         if held:
             close(CONTINUED if continued else BEGIN, False)
         if rows:

@@ -2,6 +2,7 @@ import csv
 import random
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,18 @@ def test_jobs_do_not_grow_with_headers(spark, tmp_path):
             assert one.columns == [ROW, f"key{i}", f"Value{i}"]
             assert sorted(map(tuple, one.collect())) == [(0, i, "a"), (1, i, "b")]
     assert counts[2] == counts[12]
+
+
+def test_lines_inside_a_cell_are_taken_in_one_piece(monkeypatch):
+    words = [b"w%d\r" % i if i % 97 == 0 else b"" if i % 89 == 0 else b"w%d" % i for i in range(6_000)]
+    lines = [b"a,b", b'1,"x', *words, b'y"', b"2,z", b"", b"3,q\r4,r", b'5,"open', b"end", b'"']
+    columns = [[7] * len(lines), ["f"] * len(lines), [0] * len(lines), lines, [False] * len(lines), [True] * len(lines)]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "path", "block", "value", "inside", "header"])
+    cut, asked = records._parts, []
+    monkeypatch.setattr(records, "_parts", lambda line: asked.append(line) or cut(line))
+    out = [r for b in records._cut(b",")(iter([batch.slice(0, 2_500), batch.slice(2_500)])) for r in b.to_pylist()]
+    assert [r["record"] for r in out] == [
+        b"a,b", b"\n".join([b'1,"x', *words, b'y"']), b"2,z", b"3,q", b"4,r", b'5,"open\nend\n"',
+    ]
+    assert [r["place"] for r in out] == [-1, 0, 1, 2, 3, 4] and len(asked) < 20
