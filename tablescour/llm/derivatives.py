@@ -18,7 +18,6 @@ file; other columns are not read.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -52,10 +51,14 @@ _BREAK = re.compile(
     r"title|body|html|head|dl|dt|dd|figure|form|main|aside|option|td|th)\b[^<>]*>", re.I
 )
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>")
-_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
-_LINES = re.compile(r" ?\n[ \n]*")
+_BLANKS = "\t\r\f\v\xa0"
 _LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.I)
+# A path from the root that joins as it stands: no empty or dot segments, no further parts.
+_ROOTED = re.compile(r"(?:/(?!\.\.?(?:/|\Z))[^\x00-\x20/;?#]+)+")
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _BASE32 for b in _BASE32]
 
 
 def visible_text(page: str) -> str:
@@ -63,11 +66,22 @@ def visible_text(page: str) -> str:
     text = _TAG.sub("", _BREAK.sub("\n", text))
     if "&" in text:
         text = html.unescape(text)
-    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
+    for blank in _BLANKS:
+        text = text.replace(blank, " ")
+    text = _single(text, " ").replace(" \n", "\n").replace("\n ", "\n")
+    return _single(text, "\n").strip()
+
+
+def _single(text: str, char: str) -> str:
+    """Runs of ``char`` as one; each round halves them."""
+    while char * 2 in text:
+        text = text.replace(char * 2, char)
+    return text
 
 
 def _digest(block: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    bits = int.from_bytes(hashlib.sha1(block).digest())
+    return "sha1:" + "".join([_PAIRS[bits >> at & 1023] for at in range(150, -1, -10)])
 
 
 def _one_line(value: str) -> str:
@@ -84,6 +98,19 @@ def _derived(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id} {kind}')}>"
 
 
+def _joined(base: str, link: str) -> str:
+    try:
+        return urljoin(base, link)
+    except ValueError:
+        return link
+
+
+def outlinks(base: str, links: list[str]) -> list[str]:
+    """Links joined to the address of their page; paths from the root share one join."""
+    root = _joined(base, "/x")[:-2]
+    return [root + link if _ROOTED.fullmatch(link) else _joined(base, link) for link in links]
+
+
 def derive(source: dict) -> tuple[bytes, bytes]:
     """The metadata and the conversion record of a response.
 
@@ -100,12 +127,7 @@ def derive(source: dict) -> tuple[bytes, bytes]:
     lang = _LANG.search(page)
     links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
     fields = [("title", title), ("html-lang", lang[1] if lang else ""), ("links", str(len(links)))]
-    for link in links:
-        try:
-            link = urljoin(uri or "", link)
-        except ValueError:
-            pass
-        fields.append(("outlink", _one_line(f"{link} L a/@href")))
+    fields += [("outlink", _one_line(f"{link} L a/@href")) for link in outlinks(uri or "", links)]
     fields += [("source-block-digest", whole), ("source-payload-digest", digest)]
     first, *rest = http.split("\r\n")
     fields += [("source-status", first), *(("source-header", line) for line in rest if line)]
@@ -151,12 +173,12 @@ def write_derivatives(responses: DataFrame, folder: str, level: int = 4) -> Data
     def write(batches):
         context, output, n, size = TaskContext.get(), None, 0, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                if output is None:
-                    name = f"{folder}/part-{context.partitionId():06d}.warc.gz"
-                    output = Output(name, context.taskAttemptId())
-                source = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                for record in derive(source):
+            if output is None and batch.num_rows:
+                name = f"{folder}/part-{context.partitionId():06d}.warc.gz"
+                output = Output(name, context.taskAttemptId())
+            names = batch.schema.names
+            for row in zip(*batch.columns):
+                for record in derive({c: v.as_py() for c, v in zip(names, row)}):
                     member = gzip.compress(record, level, mtime=0)
                     output.stream.write(member)
                     n, size = n + 1, size + len(member)
@@ -169,22 +191,25 @@ def write_derivatives(responses: DataFrame, folder: str, level: int = 4) -> Data
     return responses.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_records(uri: str, chunk: int = 1 << 20):
-    """(offset, headers, block) of each record of a file, member by member."""
+def read_records(uri: str, chunk: int = 1 << 20, piece: int = 1 << 12):
+    """(offset, headers, block) of each record of a file, member by member. An engine that
+    ends copies what it was given beyond its member, so it is given small pieces."""
     with open_input(uri) as file:
         offset, start, engine, parts = 0, 0, zlib.decompressobj(31), []
         while data := file.read(chunk):
-            while data:
-                parts.append(engine.decompress(data))
+            data, at = memoryview(data), 0
+            while at < len(data):
+                given = data[at : at + piece]
+                parts.append(engine.decompress(given))
+                used = len(given) - len(engine.unused_data)
+                at, offset = at + used, offset + used
                 if not engine.eof:
-                    offset += len(data)
-                    break
-                offset += len(data) - len(engine.unused_data)
+                    continue
                 raw = b"".join(parts)
                 head, _, rest = raw.partition(b"\r\n\r\n")
                 headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
                 yield start, headers, rest[: int(headers["Content-Length"])]
-                data, start, engine, parts = engine.unused_data, offset, zlib.decompressobj(31), []
+                start, engine, parts = offset, zlib.decompressobj(31), []
 
 
 def read_derivatives(spark: SparkSession, folder: str) -> DataFrame:

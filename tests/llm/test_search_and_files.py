@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import random
 import re
+import types
+import zlib
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -87,6 +90,66 @@ def test_visible_text():
     assert derivatives.visible_text("<a" * 50_000).count("<a") == 50_000
 
 
+def test_blanks_and_lines_are_those_of_the_patterns():
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r", "\xa0", "\v", "\f", "\x85", "\u2028", "\x1c", "a", "é", "<b>", "&nbsp;", "&#10;"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        text = page.replace("<b>", "").replace("&nbsp;", "\xa0").replace("&#10;", "\n")
+        text = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\v\xa0]+", " ", text)).strip()
+        assert derivatives.visible_text(page) == text
+    assert derivatives.visible_text("a" + " \n" * 500_000 + "b") == "a\nb"
+
+
+def test_outlinks_are_joined_one_by_one_only_where_needed(monkeypatch):
+    rng = random.Random(4)
+    bases = [
+        "http://a.b/c/d?e=f#g", "HTTP://A.b", "", "a/b", "/a/b", "mailto:x@y", "ftp://h/p;x", "http:/foo", "http:", "//h/p",
+        "http://[bad", "x+y://h/p", "  http://a/b", "http://a\uff0fb/c", "file:///a/b", "http://a.b;p?q",
+    ]
+    parts = ["/", "//", "a", ".", "..", "/.", "/..", "?", "#", ";", ":", "%20", " ", "\t", "\n", "\x01", "\xa0", "é", "[", "]", "//h", "http:"]
+    for _ in range(20_000):
+        base, link = rng.choice(bases), "/" * rng.randint(0, 1) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))
+        try:
+            joined = urljoin(base, link)
+        except ValueError:
+            joined = link
+        source = {"payload": f'<a href="{link}">', "target_uri": base, "source_id": 1, "record_id": "r", "date": "d", "http_headers": "h"}
+        assert f"outlink: {derivatives._one_line(joined)} L a/@href\r\n".encode() in derivatives.derive(source)[0]
+    calls = []
+    monkeypatch.setattr(derivatives, "urljoin", lambda *a: calls.append(a) or urljoin(*a))
+    source |= {"payload": "".join(f'<a href="/w{i}/v.">' for i in range(1000)), "target_uri": "http://a.b/c"}
+    about = derivatives.derive(source)[0]
+    assert all(f"outlink: http://a.b/w{i}/v. L".encode() in about for i in range(1000)) and len(calls) < 10
+
+
+def test_reading_a_file_copies_no_more_than_it_holds(tmp_path, monkeypatch):
+    rng, given = random.Random(6), []
+    blocks = [rng.randbytes(rng.choice([0, 10, 900, 9000])) for _ in range(600)]
+    members = [gzip.compress(derivatives._record([("X", str(i))], b), 4, mtime=0) for i, b in enumerate(blocks)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+
+    class Engine:
+        def __init__(self, wbits):
+            self.engine = zlib.decompressobj(wbits)
+
+        def decompress(self, data):
+            given.append(len(data))
+            return self.engine.decompress(data)
+
+        eof = property(lambda self: self.engine.eof)
+        unused_data = property(lambda self: self.engine.unused_data)
+
+    monkeypatch.setattr(derivatives, "zlib", types.SimpleNamespace(decompressobj=Engine))
+    for chunk in (1 << 20, 1000):
+        given.clear()
+        got = list(derivatives.read_records(str(path), chunk=chunk))
+        assert [g[2] for g in got] == blocks and [g[1]["X"] for g in got] == [str(i) for i in range(600)]
+        assert [g[0] for g in got] == [sum(map(len, members[:i])) for i in range(600)]
+        assert sum(given) < path.stat().st_size + 600 * 5000
+
+
 def test_files_are_the_same_on_a_second_run(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
     raw = []
