@@ -113,6 +113,27 @@ def test_kneser_ney_is_a_distribution(spark):
         assert model[gram] == pytest.approx(p(4, gram), rel=4e-3)
 
 
+def test_no_two_bytes_share_a_spelling(spark):
+    table, every = kneser_ney.symbol_table(), np.arange(256, dtype=np.uint8)
+    assert len(np.unique(table)) == 256 and (table % kneser_ney.SYMBOLS > 0).all()
+    symbols, ends = kneser_ney.spelled(every, np.arange(257), table)
+    spellings = {tuple(symbols[a:b].tolist()) for a, b in zip(ends, ends[1:])}
+    assert len(spellings) == 256 and {len(x) for x in spellings} == {1, 2}
+    assert not {x[0] for x in spellings if len(x) == 1} & {x[0] for x in spellings if len(x) == 2}
+    # of bytes that stand alike in a text, the ones trusted texts hold are likelier
+    pairs = [("call 117 A now", "call 338 A now"), ("in Ulm", "in Xlm"), ("é là", "è lÀ"), ("a + b", "a @ b")]
+    rows = [(i, x[0], "en") for i, x in enumerate(pairs)] + [(i + 10, x[1], "en") for i, x in enumerate(pairs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 10").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = {r.doc_id: (r.perplexity, r.n_bytes) for r in kneser_ney.classify(docs, labels).collect()}
+    for i in range(len(pairs)):
+        assert got[i][0] < got[i + 10][0] and got[i][1] == got[i + 10][1]
+    # a text's perplexity is that of all its symbols, by byte
+    model, text = kneser_ney.fit(docs.where("doc_id < 10").select("text")), np.frombuffer(rows[2][1].encode(), np.uint8)
+    logs = model[kneser_ney.grams(text, np.array([0, len(text)]), 4, table)].astype(float)
+    assert len(logs) > len(text) and got[2][0] == pytest.approx(10 ** (-logs.sum() / len(text)), rel=1e-9)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()
