@@ -42,6 +42,29 @@ def test_top_k_is_that_of_all_pairs(spark, block):
     assert vectors.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_copies_no_vectors_between_tasks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(1, 900)] + [(i, rng.normal(size=3).tolist()) for i in range(0, 200, 4)]
+    rows += [(i, (rng.normal(size=4) * 10.0 ** (i % 7)).tolist()) for i in range(1000, 1100)]  # numbers of all widths
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = vectors.top_k(table, block=40)
+    assert sorted(map(tuple, found.collect())) == _best(rows, 20, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "binary" not in plan
+
+
+def test_tasks_hold_every_pair_of_blocks_once():
+    blocks = [(3, b, 100 + b, b % 3) for b in range(50)] + [(2, 7, 10, 10), (9, 4, 5, 0)]
+    tasks = vectors.plan(blocks, 12)
+    pairs = [(dim, q, c) for dim, asking, candidates in tasks for q in asking for c in candidates]
+    want = [(3, q, c) for q in range(50) if q % 3 for c in range(50)] + [(2, 7, 7)]
+    assert sorted(pairs) == sorted(want) and len(tasks) >= 12
+    assert vectors.plan([], 12) == vectors.plan([(9, 4, 5, 0)], 12) == []
+    many = vectors.plan([(64, b, 4096, 205) for b in range(1465)], 12)  # six million vectors
+    assert max(205 * len(a) * 4096 * len(c) for _, a, c in many) < 2 * vectors.PAIRS
+    assert max(205 * len(a) for _, a, _ in many) <= vectors.QUERIES
+
+
 def test_bounds_hold_and_cells_survive_packing():
     rng = np.random.default_rng(1)
     matrix = np.floor(rng.normal(size=(501, 7)) * 30)
