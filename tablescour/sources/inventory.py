@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
 from urllib.parse import quote
 
 import pandas as pd
@@ -71,9 +72,37 @@ def _read_head(path: str, most: int) -> bytes:
         return head
 
 
+def _records(sample: str, delimiter: str) -> list[list[str]]:
+    """The records of a file's first characters, without one that is cut off at their end."""
+    records = []
+    with suppress(csv.Error):  # a cell too long for the reader
+        records.extend(r for r in csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter) if r)
+    return records if sample.endswith(("\n", "\r")) or len(records) < 2 else records[:-1]
+
+
+def _separates(delimiter: str, sample: str) -> bool:
+    """Whether a delimiter splits the first record, or most of the others."""
+    first, *others = _records(sample, delimiter) or [[]]
+    return len(first) > 1 or 2 * sum(len(r) > 1 for r in others) > len(others)
+
+
+def find_delimiter(sample: str) -> str:
+    """The sniffed delimiter, unless it is only a mark in some texts of the file.
+
+    The sniffer also counts marks inside quoted cells. One that separates nothing would
+    break the few records further on that hold it unquoted; so the first delimiter counts
+    under which all records are equally wide, as those of a single column are.
+    """
+    delimiter = sniff_delimiter(sample)
+    sample = sample[:_HEAD_BYTES]
+    if delimiter == DELIMITERS[0] or _separates(delimiter, sample):
+        return delimiter
+    return next((d for d in DELIMITERS if len({len(r) for r in _records(sample, d)}) == 1), delimiter)
+
+
 def _layout(sample: str) -> tuple[str, list[str]]:
     """Delimiter and column names of a file by its first characters."""
-    delimiter = sniff_delimiter(sample)
+    delimiter = find_delimiter(sample)
     records = csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter)
     return delimiter, normalize_header(next((r for r in records if r), []))
 

@@ -186,6 +186,21 @@ def test_csv_export_keeps_cells_and_guards_formulas(spark, table, tmp_path):
     assert guard(df).filter(F.col("text").startswith("'")).count() == 2
 
 
+def test_marks_in_texts_are_no_delimiters(spark, files, table, tmp_path):
+    texts = [f"wort | wort\nein | zwei, {i}" for i in range(40)] + ["x | y | z", "", "a;b"]
+    path = str(tmp_path / "one")
+    export(table(text=texts).repartition(1), "csv", path, guard_formulas=False)
+    assert sorted(r.text for r in load_csv(spark, f"{path}/*.csv").collect()) == sorted(texts)
+    path = str(tmp_path / "two")
+    export(table(lang=["de"] * len(texts), text=texts).repartition(1), "csv", path, guard_formulas=False)
+    back = load_csv(spark, f"{path}/*.csv")
+    assert data_columns(back) == ["lang", "text"] and sorted(r.text for r in back.collect()) == sorted(texts)
+    # where the mark splits most records, it is the delimiter, and the header is short
+    with pytest.raises(CleanError) as error:
+        load_csv(spark, put(files, "short.csv", "name\n" + "1;2\n" * 40))
+    assert error.value.code == "malformed_csv"
+
+
 def test_json_export_keeps_nulls(spark, table, tmp_path):
     df = table(a=["x", None, ""], b=["=1", "2", "3"])
     path = str(tmp_path / "out")
